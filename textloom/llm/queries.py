@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from textloom.llm import simhash
+from textloom.llm import bpe, decontaminate, linededup, simhash
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -14,8 +14,23 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"), report=True)
+
+
+def op8_bpe_encode_decode(spark, sf_dir):
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_line_dedup": op4_line_dedup,
+    "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}

@@ -29,8 +29,8 @@ def h(b):
     return int(A.span_hashes(d, np.array([0]), np.array([len(d)]))[0])
 
 
-def brute(docs):
-    """docs: (id, text) in row order; the texts left."""
+def brute(docs, hashes):
+    """docs: (id, text) in row order, Spark's hash of each text; the texts left."""
     found = []
     for row, (key, text) in enumerate(docs):
         raw, spans = split(text or "")
@@ -43,13 +43,14 @@ def brute(docs):
             if rolled % linededup.DIVISOR == 0 or k + 1 == len(spans):
                 found.append((key is None, key or 0, row, len([1 for x in found if x[2] == row]), open_[0][0], open_[-1][1], len(open_), raw))
                 open_ = []
-    seen, gone = set(), {}
-    for _, _, row, _, a, b, n, raw in sorted(found, key=lambda x: x[:4]):
+    owner, gone = {}, {}
+    text_hash = {t: int(k) for t, k in hashes.items()}
+    for null, key, row, _, a, b, n, raw in sorted(found, key=lambda x: (not x[0], x[1], text_hash[x[7].decode()], x[4])):
         if n >= linededup.MIN_LINES and b - a >= linededup.MIN_BYTES:
-            if raw[a:b] in seen:
+            me = (null, key, raw, a)
+            if owner.setdefault(raw[a:b], me) != me:
                 nexts = sorted(x[4] for x in found if x[2] == row and x[4] >= b)
                 gone.setdefault(row, []).append((a, nexts[0] if nexts else len(raw)))
-            seen.add(raw[a:b])
     out = []
     for row, (_, text) in enumerate(docs):
         if text is None:
@@ -62,6 +63,12 @@ def brute(docs):
     return out
 
 
+def spark_hashes(df):
+    from pyspark.sql import functions as F
+
+    return {r[0]: r[1] for r in df.filter("text is not null").select("text", F.xxhash64("text")).collect()}
+
+
 def test_against_brute_force(spark):
     rng = random.Random(2)
     pool = [f"{common.sentence(i, rng.randrange(3, 12))}{rng.choice('.!?')}" for i in range(40)]
@@ -75,11 +82,22 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     order = [(r.doc_id, r.text) for r in df.collect()]
     got = [r.text for r in linededup.dedup_lines(df).collect()]
-    want = brute(order)
+    want = brute(order, spark_hashes(df))
     assert sorted(got) == sorted(want)
     assert sum(map(len, want)) < 0.8 * sum(len(t) for _, t in docs)
 
 
+def test_full_bitmap_changes_nothing(spark):
+    passage = " ".join(f"{common.sentence(k, 9)}." for k in range(12))
+    docs = spark.createDataFrame([(i, f"{common.sentence(50 + i)}. {passage}") for i in range(20)], "doc_id long, text string")
+    want = common.rows(linededup.dedup_lines(docs))
+    bits, linededup.BITMAP_BITS = linededup.BITMAP_BITS, 7
+    try:
+        assert common.rows(linededup.dedup_lines(docs)) == want
+    finally:
+        linededup.BITMAP_BITS = bits
+
+
 def test_shifted_passage_is_caught(spark):
     passage = " ".join(f"{common.sentence(k, 9)}." for k in range(12))
     docs = [(1, f"Begin one. {passage} End one."), (2, f"Other start here. And more.\n{passage}\nTail.")]
@@ -93,7 +111,7 @@ def test_odd_rows(spark, extra):
     docs = common.odd_docs(spark, extra).coalesce(1)
     out = linededup.dedup_lines(docs)
     assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
-    want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], spark_hashes(docs))
     assert sorted([r.text for r in out.select("text").collect()], key=str) == sorted(want, key=str)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.select("text", "n_chars").collect())
     assert linededup.dedup_lines(common.empty_docs(spark)).count() == 0

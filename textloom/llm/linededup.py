@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.llm import arrays as A
 from textloom.runtime import require
@@ -15,6 +14,8 @@ from textloom.runtime import require
 DIVISOR = 2
 #: Only chunks of at least so many lines and bytes are removed.
 MIN_LINES, MIN_BYTES = 2, 60
+#: Size of the bitmap of repeated hashes.
+BITMAP_BITS = 27
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -65,97 +66,95 @@ def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return a, b, row[first], stop - first + 1, A.span_hashes(data, a, b, seed=7)
 
 
+def _removable(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Start, end, row, hash and place of the next chunk (or the row's end) of the chunks that may be removed."""
+    data, offs = A.text_bytes(texts)
+    a, b, row, count, h = chunks(data, offs)
+    after = np.r_[a[1:], 0][: len(a)]
+    last = np.r_[row[1:] != row[:-1], True][: len(a)]
+    after = np.where(last, offs[row + 1], after) if len(a) else after
+    ok = (count >= MIN_LINES) & (b - a >= MIN_BYTES)
+    return a[ok], b[ok], row[ok], h[ok], after[ok], data, offs
+
+
+def repeated_bits(texts: DataFrame) -> np.ndarray:
+    """A bitmap of BITMAP_BITS with the bits of the hashes that occur twice or more, and of others by chance."""
+
+    def run(batches):
+        for batch in batches:
+            for s in A.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_removable(A.column(s, "text"))[3].view(np.int64))], ["hash"])
+
+    twice = texts.mapInArrow(run, "hash long").groupBy("hash").count().filter("count > 1")
+    slot = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
+    words = twice.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", report: bool = False) -> DataFrame:
     """``docs`` with every repeated chunk of two or more lines removed, but for its first occurrence.
 
-    Texts are cut in pieces that each end with a chunk; pieces are shuffled by the hash of their chunk, compared byte
-    by byte there, and put together again by row. That is two shuffles of the text and no join; a chunk of millions
-    of copies is sorted within its partition, on disk if need be. First is the smallest (doc_id, row); null ids come
-    last. A chunk that repeats within one document goes as well. White space after a removed chunk goes with it; text that is kept is
-    kept to the byte.
-
-    Null texts stay null, empty ones empty; a text of nothing but repeated chunks becomes empty, and its row stays.
-    Repeated rows are separate rows: the second loses its multi-line chunks. All columns are kept under their names
-    (``chars_col``, if there is one of that name, becomes the new length), so clashing names can't arise. An empty
-    table gives an empty one. ``report`` gives (doc_id, text, removed_chunks, removed_bytes) instead.
+    Three passes. The first counts the hashes of chunks, without texts. Those seen twice go into a bitmap of fixed
+    size (16 MB); should it fill up, more chunks than need be take part in the second pass, which shuffles the bytes
+    of the chunks that may repeat, by hash, and compares them byte by byte. The third joins what is to be cut to the
+    texts, which are shuffled once. A chunk of millions of copies is sorted within its partition, on disk if need be.
+
+    First is the smallest (doc_id, text hash, place), null ids first. A chunk that repeats within one document goes
+    as well. White space after a removed chunk goes with it; text that is kept is kept to the byte. Null texts stay
+    null, empty ones empty; a text of nothing but repeated chunks becomes empty, and its row stays. Rows that repeat
+    both id and text are one document and are cut alike. All columns are kept under their names (``chars_col``, if
+    there is one of that name, becomes the new length), so clashing names can't arise. An empty table gives an empty
+    one. ``report`` gives (doc_id, text, removed_chunks, removed_bytes) instead.
     """
     require(docs, id_col, text_col)
-    from pyspark import TaskContext
-
-    names = docs.columns
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("rest"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
-    schema = T.StructType(
-        [
-            T.StructField("row", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("id", T.LongType()), T.StructField("long", T.BooleanType()), T.StructField("hash", T.LongType()), T.StructField("lead", T.IntegerType()), T.StructField("body", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("head", T.StructType([T.StructField("rest", carried.schema["rest"].dataType), T.StructField("null", T.BooleanType())])),
-        ]
-    )
-
-    def cut(batches):
-        done = TaskContext.get().partitionId() << 33
+    text, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    texts = docs.select(key.alias("id"), text.alias("text")).filter("text is not null")
+    sent = docs.sparkSession.sparkContext.broadcast(repeated_bits(texts.select("text")))
+
+    def pick(batches):
         for batch in batches:
             for s in A.slices(batch, "text"):
-                texts = A.column(s, "text")
-                data, offs = A.text_bytes(texts)
-                a, b, row, count, h = chunks(data, offs)
-                n = s.num_rows
-                # A piece goes from where the last one ended to the white space after its chunk; a row's last takes all the rest.
-                bare = np.setdiff1d(np.arange(n), row)
-                order = np.argsort(np.r_[row, bare], kind="stable")
-                row = np.r_[row, bare][order]
-                a, b = np.r_[a, offs[bare]][order], np.r_[b, offs[bare]][order]
-                multi = np.r_[(count >= MIN_LINES) & (b_minus(a, b, order, len(count)) >= MIN_BYTES), np.zeros(len(bare), bool)][order]
-                h = np.r_[h, np.zeros(len(bare), np.uint64)][order]
-                first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
-                begin = np.where(first, offs[row], a)
-                finish = np.r_[begin[1:], offs[-1]]
-                nth = np.arange(len(row)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(row) else row
-                # Pieces that can't be removed are spread evenly.
-                h = np.where(multi, h, A.mix(row.astype(np.uint64) * np.uint64(1 << 20) + nth.astype(np.uint64) + np.uint64(done)))
-                pieces = pa.StringArray.from_buffers(len(row), pa.py_buffer(np.r_[begin, offs[-1]].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
-                heads = pa.StructArray.from_arrays([A.column(s, "rest"), pa.array(np.asarray(texts.is_null()))], ["rest", "null"])
+                a, b, row, h, after, data, offs = _removable(A.column(s, "text"))
+                slot = h >> np.uint64(64 - BITMAP_BITS)
+                ok = np.flatnonzero((sent.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                a, b, row, h, after = a[ok], b[ok], row[ok], h[ok], after[ok]
+                at = offs[row]
+                take = pa.array(row)
+                bodies = pa.array([data[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + done), pa.array(nth), A.column(s, "id").take(pa.array(row)), pa.array(multi), pa.array(h.view(np.int64)),
-                        pa.array((a - begin).astype(np.int32)), pa.array((b - a).astype(np.int32)), pieces, heads.take(pa.array(row, mask=~first)),
-                    ],
-                    schema=arrow_schema(s, heads.type),
-                )
-                done += n
-                del finish
-
-    def b_minus(a, b, order, k):
-        back = np.empty(len(order), np.int64)
-        back[order] = b - a
-        return back[:k]
-
-    def arrow_schema(s, head):
-        return pa.schema([("row", pa.int64()), ("nth", pa.int64()), ("id", pa.int64()), ("long", pa.bool_()), ("hash", pa.int64()), ("lead", pa.int32()), ("body", pa.int32()), ("piece", pa.string()), ("head", head)])
-
-    pieces = carried.mapInArrow(cut, schema).repartition("hash")
-    # Bytes are compared, not only hashes: the chunk itself is a partition key, without the white space around it.
-    raw = F.col("piece").cast("binary")
-    chunk = F.when(F.col("long"), F.substring(raw, F.col("lead") + 1, F.col("body")))
-    same = Window.partitionBy("hash", "chunk").orderBy(F.col("id").asc_nulls_last(), "row", "nth")
-    ranked = pieces.withColumn("chunk", chunk).withColumn("copy", F.row_number().over(same))
-    gone = F.col("long") & (F.col("copy") > 1)
-    left = ranked.select("row", "nth", "id", "head", gone.alias("gone"), F.when(gone, F.substring(raw, F.lit(1), F.col("lead"))).otherwise(raw).alias("left"), F.when(gone, F.col("body")).otherwise(0).alias("lost"))
-    whole = left.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "left"))).alias("parts"),
-        F.first("head", ignorenulls=True).alias("head"),
-        F.sum(F.col("gone").cast("long")).alias("removed_chunks"),
-        F.sum(F.col("lost").cast("long")).alias("removed_bytes"),
-    )
-    text = F.when(~F.col("head.null"), F.array_join(F.transform("parts", lambda p: p["left"].cast("string")), "")).alias("text")
+                    [A.column(s, "id").take(take), A.column(s, "text_hash").take(take), pa.array(h.view(np.int64)), pa.array((a - at).astype(np.int32)), pa.array((after - at).astype(np.int32)), bodies],
+                    ["id", "text_hash", "hash", "start", "stop", "body"],
+                )
+
+    picked = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(pick, "id long, text_hash long, hash long, start int, stop int, body binary")
+    same = Window.partitionBy("hash", "body").orderBy("id", "text_hash", "start")
+    gone = picked.repartition("hash").withColumn("copy", F.dense_rank().over(same)).filter("copy > 1")
+    cuts = gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__cuts"))
+    cuts = cuts.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__cuts")
+    on = key.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    joined = docs.join(cuts, on, "left")
+    raw = text.cast("binary")
+
+    def between(_, i):
+        """Bytes from the end of cut i - 1 to the start of cut i."""
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.col("__cuts")[i - 1]["stop"])
+        end = F.when(i == F.size("__cuts"), F.octet_length(raw)).otherwise(F.try_element_at(F.col("__cuts"), i + 1)["start"])
+        return F.substring(raw, begin + 1, end - begin).cast("string")
+
+    kept = F.array_join(F.transform(F.array_append(F.transform("__cuts", lambda c: c["start"]), F.lit(0)), lambda x, i: between(x, i)), "")
+    left = F.when(F.col("__cuts").isNull(), text).otherwise(kept)
     if report:
-        return whole.select(F.col("head.rest")[id_col].alias("doc_id"), text, "removed_chunks", "removed_bytes")
-    out = whole.select("head", text)
-
-    def back(c):
+        lost = F.aggregate(F.coalesce("__cuts", F.array().cast("array<struct<start:int,stop:int>>")), F.lit(0).cast("long"), lambda a, c: a + c["stop"] - c["start"])
+        count = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size("__cuts")).cast("long")
+        return joined.select(docs[id_col].alias("doc_id"), left.alias("text"), count.alias("removed_chunks"), lost.alias("removed_bytes"))
+    out = []
+    for c in docs.columns:
         if c == text_col:
-            return F.col("text").alias(c)
-        if c == chars_col:
-            kind = docs.schema[c].dataType
-            return F.when(F.col("text").isNotNull(), F.length("text")).cast(kind).alias(c)
-        return F.col("head.rest").getField(c).alias(c)
-
-    return out.select(*[back(c) for c in names])
+            out.append(left.alias(c))
+        elif c == chars_col:
+            out.append(F.length(left).cast(docs.schema[c].dataType).alias(c))
+        else:
+            out.append(docs[f"`{c}`"])
+    return joined.select(*out)

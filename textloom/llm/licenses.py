@@ -28,7 +28,7 @@ SENTENCES = [
     ("Apache2lead", "Licensed under the Apache License, Version 2.0."),
     ("Apache2header", 'Licensed under the Apache License, Version 2.0 (the "License");'),
     ("ApacheNotUse", "you may not use this file except in compliance with the License."),
-    ("ApacheCopy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("ApacheCopy", "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"),
     ("ApacheAsis", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("GPL3lead", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL2lead", "This work is licensed under the GNU General Public License, version 2."),

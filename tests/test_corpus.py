@@ -1,0 +1,145 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions import fuzzy
+from textloom.operators import cooccurrence, pmi, similarity, tfidf
+from textloom.operators.components import connected_components
+
+MATCH = ["I read books", "I like reading", "I read books", "reading is nice", "reading", "books"]
+
+
+def corpus(spark, texts, **options):
+    return tfidf.Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), options=tfidf.Options(**options))
+
+
+@pytest.mark.parametrize(
+    "multiple, least, want",
+    [
+        (True, 0.1, ["books", "reading", "books", "reading", "reading", "books"]),
+        (True, 0.5, ["books", "reading", "books", None, "reading", "books"]),
+        (True, 0.6, ["books", None, "books", None, "reading", "books"]),
+        (False, 0.5, [None, None, None, None, "reading", "books"]),
+    ],
+)
+def test_match_list(spark, multiple, least, want):
+    names = spark.createDataFrame([(0, "books"), (1, "reading")], "id long, name string")
+    got = tfidf.match_list(corpus(spark, MATCH), names, "id", "name", multiple, least).orderBy("doc_id").collect()
+    assert [r.match_text for r in got] == want
+
+
+def test_search_gives_every_row(spark):
+    got = tfidf.search(corpus(spark, MATCH), "nice books").collect()
+    assert len(got) == 6 and got[0].text == "books" and got[-1].search_cosine_similarity == 0.0
+
+
+def test_weights(spark):
+    post = {(r.doc_id, r.term): r.weight for r in corpus(spark, ["aa bb", "aa cc cc"]).plan().collect()}
+    idf = math.log(3 / 2) + 1
+    assert post[0, "aa"] == pytest.approx(1 / math.hypot(1, idf)) and post[1, "cc"] == pytest.approx(2 * idf / math.hypot(1, 2 * idf))
+    for options in ({"norm": None, "use_idf": False, "binary": True}, {"norm": None, "use_idf": False, "sublinear_tf": True}):
+        w = {(r.doc_id, r.term): r.weight for r in corpus(spark, ["aa bb", "aa cc cc"], **options).plan().collect()}
+        assert w[1, "cc"] == pytest.approx(1.0 if options.get("binary") else 1 + math.log(2))
+    assert {r.term for r in corpus(spark, ["aa bb", "aa cc"], max_df=1).plan().collect()} == {"bb", "cc"}
+
+
+def _noisy(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(120)}" for _ in range(25)]
+        texts.append(" ".join(words))
+        texts += [" ".join(w if rng.random() > 0.04 else "other" for w in words) for _ in range(rng.randrange(3))]
+    return texts
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_prefix_filter_loses_no_pair(spark, threshold):
+    c = corpus(spark, _noisy(spark))
+    vec = {}
+    for r in c.postings.collect():
+        vec.setdefault(r.doc_id, {})[r.term] = r.weight
+    want = {(a, b) for a in vec for b in vec if a < b and sum(w * vec[b].get(t, 0) for t, w in vec[a].items()) >= threshold}
+    assert {(r.id_a, r.id_b) for r in similarity.cosine_pairs(c, threshold).collect()} == want and want
+
+
+def test_duplicates(spark):
+    texts = ["the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy dog!", "nothing alike here at all", "the quick brown fox jumps over"]
+    c = corpus(spark, texts)
+    assert {(r.group_id, r.doc_id) for r in similarity.find_duplicates(c).select("group_id", "doc_id").collect()} == {(0, 0), (0, 1)}
+    partial = similarity.duplicate_pairs(c, tfidf_threshold=0.5, allow_partial=True)
+    assert {(r.id_a, r.id_b) for r in partial.collect()} == {(0, 1), (0, 3), (1, 3)}
+    none = similarity.duplicate_pairs(c, filter_function=lambda a, b: F.col(f"{a}.doc_id") > F.col(f"{b}.doc_id"))
+    assert none.count() == 0
+
+
+def test_fragments(spark):
+    texts = ["alpha beta gamma one. A shared sentence stands here. zeta eta.", "delta kappa two. A shared sentence stands here. theta iota.", *[f"unrelated{i} words{i} only{i}." for i in range(8)]]
+    assert "A shared sentence stands here." in {r.fragment for r in similarity.corpus_fragments(corpus(spark, texts)).collect()}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in connected_components(df).collect()} == {x: find(x) for x in list(parent)}
+    assert connected_components(df.limit(0)).count() == 0
+
+
+def test_mutual_info_goldens(spark):
+    """1,000 texts of each class; values derived from counts alone."""
+    rows, labels = [], [(i, int(i < 1000), 1.0) for i in range(2000)]
+    for term, pos, neg in (("outstanding", 63, 5), ("bad", 259, 514)):
+        rows += [(i, term, 1.0) for i in [*range(pos), *range(1000, 1000 + neg)]]
+    mi = {r.term: r for r in pmi.mutual_info(spark.createDataFrame(rows, "doc_id long, term string, x double"), spark.createDataFrame(labels, "doc_id long, y int, w double")).collect()}
+    good, bad = mi["outstanding"], mi["bad"]
+    assert (good.MI1, good.MI0) == (pytest.approx(0.178374, abs=1e-6), pytest.approx(-0.319942, abs=1e-6))
+    assert (bad.MI1, bad.MI0) == (pytest.approx(-0.195836, abs=1e-6), pytest.approx(0.209830, abs=1e-6))
+    assert good.total == 68 and good.total_pos_with_term == 63 and good.total_neg_with_term == 5 and good.pct_term_pos_neg_ratio == pytest.approx(12.6)
+
+
+def test_mutual_info_edges(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0)], "doc_id long, term string, x double")
+    labels = spark.createDataFrame([(1, 1, 1.0), (2, None, 1.0), (3, 0, None)], "doc_id long, y int, w double")
+    got = {r.term: r for r in pmi.mutual_info(rows, labels).collect()}
+    assert set(got) == {"a"} and got["a"].pct_neg_with_term is None and got["a"].MI0 is None
+
+
+def test_keywords_and_clusters(spark):
+    texts = ["the film by disney was pixar fun"] * 6 + ["war film with guns"] * 6
+    c = corpus(spark, texts)
+    assert {r.term for r in pmi.related_keywords(c, "disney").collect()} >= {"disney", "pixar", "fun"}
+    assert pmi.related_keywords(c, "isne").count() == 0
+    cl = spark.createDataFrame([(i, i // 6) for i in range(12)], "doc_id long, cluster int")
+    top = {(r.cluster, r.term) for r in pmi.cluster_terms(c, cl, 2, 5).collect()}
+    assert (0, "disney") in top and (1, "guns") in top and (0, "film") not in top
+
+
+def test_cooccurrence(spark):
+    df = spark.createDataFrame([(1, "aa bb cc"), (2, "aa bb"), (3, "aa"), (4, None)], "doc_id long, text string")
+    got = {(r.a, r.b): r.n for r in cooccurrence.word_cooccurrence(df, min_frequency=1, max_frequency=1.0).collect()}
+    assert got == {("aa", "bb"): 2, ("bb", "aa"): 2, ("aa", "cc"): 1, ("cc", "aa"): 1, ("bb", "cc"): 1, ("cc", "bb"): 1}
+    norm = {(r.a, r.b): r.n for r in cooccurrence.word_cooccurrence(df, normalize=True, min_frequency=1, max_frequency=1.0).collect()}
+    assert norm["aa", "bb"] == pytest.approx(2 / 3) and norm["bb", "aa"] == 1
+    docs = cooccurrence.document_cooccurrence(df)
+    assert {(r.a, r.b): r.n for r in docs.collect()}[1, 2] == 2
+    assert cooccurrence.matrix(docs, [1, 2, 3]).count() == 3
+
+
+def test_bound_is_a_bound():
+    for a, b in (("abc", "abcd"), ("a", "bbbb"), ("xyz", "zyx")):
+        assert fuzzy.fuzzy_ratio_value(a, b) <= 200 * min(len(a), len(b)) / (len(a) + len(b))

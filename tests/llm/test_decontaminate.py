@@ -60,8 +60,8 @@ def test_against_brute_force(spark):
 
 def test_banded_alignment():
     a, b = np.frombuffer(b"abcdefgh", np.uint8), np.frombuffer(b"xxabcdfghyy", np.uint8)
-    assert D.window_edits(a, b, 0, 4) == 1
-    assert D.window_edits(a, b, -8, -4) >= 4
+    assert D.window_edits(a, 0, 1, 8, b, 0, 4).tolist() == [1]
+    assert D.window_edits(a, 0, 1, 8, b, -8, -4)[0] >= 4
 
 
 @pytest.mark.parametrize("extra", [False, True])

@@ -20,7 +20,7 @@ EDIT_RATE = 0.08
 BAND = 8
 #: Benchmark letters whose q-grams go to the workers at once (16 bytes a letter); a larger benchmark takes several passes.
 INDEX_LETTERS = 4_000_000
-_TABLE_BITS = 22
+_TABLE_BITS = 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,25 +66,27 @@ class Index:
         self.least = np.maximum(1, self.window + 1 - Q * (self.edits + 1))
 
 
-def window_edits(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> int:
-    """Least edits between the whole pattern and any stretch of text whose path stays on diagonals low to high.
+def window_edits(whole: np.ndarray, first: int, count: int, w: int, text: np.ndarray, low: int, high: int) -> np.ndarray:
+    """For each of ``count`` windows whole[s : s + w] from s = first on, the least edits to any stretch of the text.
 
-    Diagonal d pairs pattern[i] with text[i + d]. One numpy row a letter of the pattern.
+    Paths stay on the diagonals low to high; diagonal d pairs whole[i] with text[i + d]. All windows go through the
+    letters of their patterns together.
     """
     width = high - low + 1
-    far = len(pattern) + 1
-    step = np.arange(width)
-    padded = np.zeros(len(pattern) + width, np.int16) - 1
-    at = np.arange(low, low + len(padded))
+    far = np.int16(w + 1)
+    step = np.arange(width, dtype=np.int16)
+    padded = np.full(count + w + width, -1, np.int16)
+    at = np.arange(len(padded)) + first + low
     inside = (at >= 0) & (at < len(text))
     padded[inside] = text[at[inside]]
-    start = step + low
-    cost = np.where((start >= 0) & (start <= len(text)), 0, far)
-    for i, c in enumerate(pattern):
-        new = cost + (padded[i : i + width] != c)
-        new[:-1] = np.minimum(new[:-1], cost[1:] + 1)
-        cost = np.minimum(np.minimum.accumulate(new - step) + step, far)
-    return int(cost.min())
+    seen = np.lib.stride_tricks.sliding_window_view(padded, width)
+    start = np.lib.stride_tricks.sliding_window_view(at, width)[:count]
+    cost = np.where((start >= 0) & (start <= len(text)), np.int16(0), far)
+    for i in range(w):
+        new = cost + (seen[i : i + count] != whole[first + i : first + i + count, None])
+        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+        cost = np.minimum(np.minimum.accumulate(new - step, axis=1) + step, far)
+    return cost.min(axis=1)
 
 
 def find(index: Index, arr: pa.Array) -> list[tuple[int, int, int, int, int]]:
@@ -111,9 +113,9 @@ def find(index: Index, arr: pa.Array) -> list[tuple[int, int, int, int, int]]:
     band = diagonal // BAND
     over = np.flatnonzero(diagonal - band * BAND < index.edits[item])  # these also count for the band before
     band = np.r_[band, band[over] - 1]
-    row, item, place = np.r_[row, row[over]], np.r_[item, item[over]], np.r_[place, place[over]]
+    row, item, place, diagonal = (np.r_[x, x[over]] for x in (row, item, place, diagonal))
     order = np.lexsort((place, band, item, row))
-    row, item, place, band = row[order], item[order], place[order], band[order]
+    row, item, place, band, diagonal = (x[order] for x in (row, item, place, band, diagonal))
     least = index.least[item]
     last = np.arange(len(row)) + least - 1
     ok = last < len(row)
@@ -125,28 +127,35 @@ def find(index: Index, arr: pa.Array) -> list[tuple[int, int, int, int, int]]:
         return found
     key = np.stack([row[seen], item[seen], band[seen]])
     new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0) | (place[seen][1:] > place[last[seen]][:-1] + WINDOW)]
-    groups = np.split(seen, np.flatnonzero(new)[1:])
-    for g in groups:
-        r, t, b = int(row[g[0]]), int(item[g[0]]), int(band[g[0]])
-        text = data[offs[r] : offs[r + 1]]
-        whole = index.data[index.offs[t] : index.offs[t + 1]]
-        w, e = int(index.window[t]), int(index.edits[t])
-        low, high = b * BAND, b * BAND + BAND - 1 + e
-        begin, end = int(place[g[0]]), int(place[last[g]].max()) + Q
-        first = max(0, begin - high - w)
-        starts = range(min(first, len(whole) - w), min(len(whole) - w, end - low) + 1)
-        best = None
-        middle = min(max((begin - (low + high) // 2), 0), len(whole) - w)
-        for s in sorted(starts, key=lambda s: abs(s - middle)):
-            d = window_edits(whole[s : s + w], text[max(0, s + low - e) : s + w + high + e], low - e + s - max(0, s + low - e), high + e + s - max(0, s + low - e))
-            if d <= e:
-                best = (r, t, begin, end, d)
-                break
-        if best:
-            found.append(best)
+    cut = np.flatnonzero(new)
+    begin = place[seen[cut]]
+    end = np.maximum.reduceat(place[last[seen]], cut) + Q
+    done = set()
+    for k in np.lexsort((begin, begin - end, item[seen[cut]], row[seen[cut]])).tolist():
+        g = seen[cut[k]]
+        r, t = int(row[g]), int(item[g])
+        if (r, t) not in done:
+            text, whole = data[offs[r] : offs[r + 1]], index.data[index.offs[t] : index.offs[t + 1]]
+            edits = _verify(text, whole, int(index.window[t]), int(index.edits[t]), int(band[g]) * BAND, int(begin[k]), int(end[k]), int(diagonal[g]))
+            if edits is not None:
+                done.add((r, t))
+                found.append((r, t, int(begin[k]), int(end[k]), edits))
     return found
 
 
+def _verify(text: np.ndarray, whole: np.ndarray, w: int, e: int, low: int, begin: int, end: int, diagonal: int) -> int | None:
+    """The edits of the first window of the item, from the likeliest on, that a stretch of the region is within e of."""
+    high = low + BAND - 1 + e
+    most = len(whole) - w
+    likely = min(max(begin - diagonal, 0), most)
+    if 0 <= likely + diagonal <= len(text) - w and (text[likely + diagonal : likely + diagonal + w] == whole[likely : likely + w]).all():
+        return 0
+    first = max(0, min(begin - high - w, most))
+    edits = window_edits(whole, first, min(most, max(first, end - low)) + 1 - first, w, text, low - e, high + e)
+    ok = np.flatnonzero(edits <= e)
+    return int(edits[ok[np.abs(ok + first - likely).argmin()]]) if len(ok) else None
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, edits, text_hash): each document that holds a passage of a benchmark item.
 
@@ -154,8 +163,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the item's letters (the whole of a shorter item) is within 4 edits (8 %) of a stretch of the document. Such a
     window shares at least 50 + 1 - 8 * 5 = 11 of its 8-grams with the stretch, on diagonals no further apart than
     the edits; bands of diagonals overlap by that much, so no match is missed. Regions with enough shared q-grams
-    close together are verified by banded alignment. ``matched`` is the longest such region in letters, ``edits``
-    those of the window first verified, ``text_hash`` is xxhash64 of the text.
+    close together are verified by banded alignment. ``matched`` is the length of the longest such region in letters,
+    ``edits`` those of its window first verified, ``text_hash`` is xxhash64 of the text.
 
     The q-gram index of the benchmark is broadcast up to INDEX_LETTERS letters; beyond that the benchmark is gone
     through in parts, one pass over the documents each. Null ids of documents are carried; null or empty texts and

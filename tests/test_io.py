@@ -1,4 +1,6 @@
-from textloom import sources, streaming
+import os
+
+from textloom import runtime, sources, streaming
 
 
 def test_round_trips(spark, tmp_path):
@@ -18,3 +20,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("cleaned").first().clean == "do_not stop running cats"
+
+
+def test_written_tables_are_dropped(spark):
+    df = runtime.materialise(spark.range(5), "five")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 5 and os.path.isdir(path)
+    kept, runtime._WRITTEN[:] = runtime._WRITTEN[:-1], runtime._WRITTEN[-1:]
+    runtime.drop_written(spark)
+    runtime._WRITTEN[:] = kept
+    assert not os.path.exists(path)

@@ -30,8 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+_WRITTEN: list[str] = []
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written in the shared folder; call it once results are stored."""
+    while _WRITTEN:
+        drop_path(spark, _WRITTEN.pop())
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

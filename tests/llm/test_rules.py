@@ -53,7 +53,8 @@ LICENSED = [
     (4, " ".join(s for k, s in licenses.SENTENCES if k.startswith("BSD"))),
     (5, " ".join(s for k, s in licenses.SENTENCES if k in ("BSDgrant", "BSDbinary"))),
     (6, "Nothing to see. license"),
-    (7, " ".join(s for k, s in licenses.SENTENCES if k in ("GPL3header", "GPLnoWarranty", "GPLsee"))),
+    (7, "This program is free software: {GPL3terms} {GPLhope}; {GPLeven} {GPLsee}".format(**dict(licenses.SENTENCES))),
+    (8, "This program is free software; {GPLterms}; {GPL2later}".format(**dict(licenses.SENTENCES))),
     (None, "Licensed under CC BY-NC 4.0."),
     (9, None),
     (10, ""),
@@ -65,7 +66,7 @@ LICENSED = [
 def test_licences(spark):
     docs = spark.createDataFrame(LICENSED, "doc_id long, text string")
     got = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
-    assert got == {1: "MIT", 2: "Apache-2.0", 3: "MIT,All-Rights-Reserved", 4: "BSD-3-Clause", 5: "", 7: "GPL-3.0-or-later", None: "CC-BY-NC-4.0", 11: "CC-BY-NC-4.0", 12: "Apache-2.0"}
+    assert got == {1: "MIT", 2: "Apache-2.0", 3: "MIT,All-Rights-Reserved", 4: "BSD-3-Clause", 5: "", 7: "GPL-3.0-or-later", 8: "GPL-2.0-or-later", None: "CC-BY-NC-4.0", 11: "CC-BY-NC-4.0", 12: "Apache-2.0"}
 
 
 def test_licences_match_sql(spark):

@@ -32,10 +32,6 @@ SENTENCES = [
     ("ApacheAsis", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("GPL3lead", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL2lead", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL3header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL2header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPLnoWarranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
-    ("GPLsee", "See the GNU General Public License for more details."),
     ("MPL2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CCBYNC4", "Licensed under CC BY-NC 4.0."),
     ("CCBY4", "Licensed under CC BY 4.0."),
@@ -44,16 +40,36 @@ SENTENCES = [
     ("AllRights", "All rights reserved."),
 ]
 
+_GNU, _FSF = "GNU General Public License", "Free Software Foundation"
+
+
+def _gnu() -> list[tuple[str, str]]:
+    """The headers of both versions, for programs and libraries, ended by ; or : as they are found."""
+    out = []
+    for thing in ("program", "library"):
+        out += [("GPLfree", f"This {thing} is free software"), ("GPLhope", f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY")]
+    out.append(("GPLterms", f"you can redistribute it and/or modify it under the terms of the {_GNU} as published by the {_FSF}"))
+    # the third version has a comma where the second has a semicolon
+    for version in "23":
+        out.append((f"GPL{version}later", f"either version {version} of the License, or (at your option) any later version."))
+    out.append(("GPL3terms", f"{out[-3][1]}, {out[-1][1]}"))
+    out += [("GPLeven", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."), ("GPLsee", f"See the {_GNU} for more details.")]
+    return out
+
+
+SENTENCES += _gnu()
+
 #: Licences and the runs of identifiers that make them, longest first; each recognised run is used up.
 RULES = [
     ("MIT", ["MITgrant", "MITnotice", "MITasis", "MITliab"]),
     ("Apache-2.0", ["Apache2header", "ApacheNotUse", "ApacheCopy", "ApacheAsis"]),
     ("BSD-3-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDendorse"]),
     ("BSD-2-Clause", ["BSDgrant", "BSDsource", "BSDbinary"]),
-    ("GPL-3.0-or-later", ["GPL3header", "GPLnoWarranty", "GPLsee"]),
-    ("GPL-2.0-or-later", ["GPL2header", "GPLnoWarranty", "GPLsee"]),
-    ("GPL-3.0-or-later", ["GPL3header"]),
-    ("GPL-2.0-or-later", ["GPL2header"]),
+    ("GPL-3.0-or-later", ["GPLfree", "GPL3terms", "GPLhope", "GPLeven", "GPLsee"]),
+    ("GPL-2.0-or-later", ["GPLfree", "GPLterms", "GPL2later", "GPLhope", "GPLeven", "GPLsee"]),
+    ("GPL-3.0-or-later", ["GPLfree", "GPL3terms"]),
+    ("GPL-3.0-or-later", ["GPLfree", "GPLterms", "GPL3later"]),
+    ("GPL-2.0-or-later", ["GPLfree", "GPLterms", "GPL2later"]),
     ("ISC", ["ISCgrant"]),
     ("MPL-2.0", ["MPL2"]),
     ("MIT", ["MITlead"]),

@@ -18,7 +18,7 @@ THRESHOLDS = [
     ("too_long", "n_words", None, 1_000_000, 0),
     ("odd_word_length", "mean_word_length", 2.0, 15.0, 10),
     ("symbols", "symbol_ratio", None, 0.06, 0),
-    ("few_letters", "letter_word_ratio", 0.7, None, 10),
+    ("few_letters", "letter_word_ratio", 0.7, None, 20),
     ("no_stop_words", "stop_word_ratio", 0.02, None, 30),
     ("bullets", "bullet_line_ratio", None, 0.9, 20),
     ("ellipses", "ellipsis_line_ratio", None, 0.3, 20),

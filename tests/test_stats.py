@@ -6,10 +6,10 @@ from textloom.operators import clustering, decomposition, irr, sampling, topics
 
 
 def test_sample_sizes():
-    assert irr.kappa_sample_size_power(0.4, 0.5, 0.8, 0.7) == 271
-    assert irr.kappa_sample_size_power(0.4, 0.5, 0.8, 0.7, twosided=True) == 349
-    assert irr.kappa_sample_size_ci(0.8, 0.7, 0.5) == 140
-    assert irr.kappa_sample_size_ci(0.8, 0.7, 0.5, kappaU=0.9) == 197
+    assert irr.kappa_sample_size_power(rate1=0.4, rate2=0.5, k1=0.8, k0=0.7) == 271
+    assert irr.kappa_sample_size_power(rate1=0.4, rate2=0.5, k1=0.8, k0=0.7, twosided=True) == 349
+    assert irr.kappa_sample_size_ci(kappa0=0.8, kappaL=0.7, props=0.5) == 140
+    assert irr.kappa_sample_size_ci(kappa0=0.8, kappaL=0.7, props=0.5, kappaU=0.9) == 197
     with pytest.raises(ValueError):
         irr.kappa_sample_size_ci(0.7, 0.7, 0.5)
 

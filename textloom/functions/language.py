@@ -155,7 +155,7 @@ def filter_parts_of_speech(text: Column | str, filter_pos: list[str] | None = No
     return run(text)
 
 
-ENTITY_LABELS = {"ORG": "ORGANIZATION", "PER": "PERSON", "LOC": "LOCATION", "FAC": "FACILITY", "VEH": "VEHICLE", "WEA": "WEAPON", "GSP": "GPE"}
+ENTITY_LABELS = dict(ORG="ORGANIZATION", PER="PERSON", LOC="LOCATION", FAC="FACILITY", VEH="VEHICLE", WEA="WEAPON", GSP="GPE")
 _TITLES = {"mr", "mrs", "ms", "dr", "president", "senator", "judge", "general", "prof"}
 _ORG = {"inc", "corp", "company", "university", "committee", "congress", "senate", "department", "party", "court", "union", "bank"}
 _PLACE = {"city", "county", "river", "street", "island", "mountains", "states", "kingdom", "republic"}

@@ -41,7 +41,9 @@ def kappa_sample_size_ci(kappa0: float, kappaL: float, props: float | list[float
     critical = _Z.inv_cdf((1 + level) / 2) ** 2
 
     def cells(r: float) -> tuple[float, float, float]:
-        return (1 - p) ** 2 + r * p * (1 - p), 2 * (1 - r) * p * (1 - p), p**2 + r * p * (1 - p)
+        mixed = p * (1 - p)
+        shared = r * mixed
+        return (1 - p) ** 2 + shared, 2 * (mixed - shared), p * p + shared
 
     each = sum((x - y) ** 2 / y for x, y in zip(cells(kappa0), cells(kappaL)))
     n = 10

@@ -36,7 +36,7 @@ def r6(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-# --- SQL that several oracles share ---------------------------------------------------------------------------------
+# Sql that several oracles share
 
 _TOKEN = r"[\p{L}\p{N}_]{2,}"
 _STOP_SQL = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP) + ")"
@@ -68,7 +68,7 @@ raw_{name} as (select doc_id, t.term, tf * (ln((n + 1.0) / (df + 1)) + 1) as w0
 {name} as (select doc_id as item, term, w0 / sqrt(sum(w0 * w0) over (partition by doc_id)) as qw from raw_{name})"""
 
 
-# --- text -----------------------------------------------------------------------------------------------------------
+# Text
 
 
 @query("select doc_id, item_id from documents d, benchmark b where contains(strip_accents(d.text), strip_accents(b.text))")
@@ -131,7 +131,7 @@ def edit_ratio_ascii(spark, sf_dir):
     return a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", F.round(fuzzy.edit_ratio("x", "y"), 6).alias("ratio"))
 
 
-# --- TF-IDF ---------------------------------------------------------------------------------------------------------
+# Tf-idf
 
 
 def corpus(spark, sf_dir, **options):
@@ -182,7 +182,7 @@ def match_list_exclusive(spark, sf_dir):
     return out.select("doc_id", "match_id", "match_text", *r6("similarity"))
 
 
-# --- similarity -----------------------------------------------------------------------------------------------------
+# Similarity
 
 _PAIRS = f"""{weights()},
 pairs as (select a.doc_id as id_a, b.doc_id as id_b, sum(a.weight * b.weight) as sim from post a join post b on a.term = b.term and a.doc_id < b.doc_id group by all having sum(a.weight * b.weight) >= 0.9 - 1e-9)"""
@@ -229,7 +229,7 @@ def text_overlaps_turns(spark, sf_dir):
     return a.join(b, "conv_id").filter("turn_a < turn_b").select("conv_id", "turn_a", "turn_b", F.size(fuzzy.text_overlaps("x", "y", 10)).cast("long").alias("shared"))
 
 
-# --- pointwise mutual information -----------------------------------------------------------------------------------
+# Pointwise mutual information
 
 
 def _pmi_sql(sums: str, normalize: bool = True, smooth: float = 0.0, keep: str = "term") -> str:
@@ -331,7 +331,7 @@ def mi_scatter_table(spark, sf_dir):
     return pmi.scatter_table(pmi.corpus_mutual_info(_labelled(spark, sf_dir), "quality", binary=True)).select("term", "x", "y", *r6("size", "color"))
 
 
-# --- co-occurrence --------------------------------------------------------------------------------------------------
+# Co-occurrence
 
 _COOC = f"""{tok(stop=True)}, t as (select distinct doc_id, term from tok), n as (select count(*) as n from documents where text is not null),
 v as (select term, count(*) as df from t group by term having count(*) >= 10 and count(*) <= 0.5 * (select n from n)), k as (select t.* from t semi join v on t.term = v.term)"""
@@ -352,7 +352,7 @@ def doc_cooccurrence(spark, sf_dir):
     return cooccurrence.document_cooccurrence(table(spark, sf_dir, "benchmark"), "item_id")
 
 
-# --- sampling -------------------------------------------------------------------------------------------------------
+# Sampling
 
 _KEY = "md5('7|' || cast(c_custkey as varchar))"
 _SYS = """sys as (select c_custkey, row_number() over (order by c_mktsegment, {key}, c_custkey) - 1 as at from {src}), sz as (select count(*)::double as n from {src}),
@@ -419,7 +419,7 @@ def weights_balanced_weighted(spark, sf_dir):
     return sampling.balanced_weights(_us(table(spark, sf_dir, "orders")).filter("o_totalprice > 150000"), ["f", "u"], "o_totalprice").select("o_orderkey", *r6("weight"))
 
 
-# --- inter-rater reliability ----------------------------------------------------------------------------------------
+# Inter-rater reliability
 
 
 def _coders(spark, sf_dir):
@@ -462,15 +462,15 @@ def irr_multivariate(spark, sf_dir):
 @query("select * from (values ('power', 271), ('power_twosided', 349), ('ci', 140), ('ci_twosided', 197)) t(kind, n)")
 def kappa_sample_sizes(spark, sf_dir):
     rows = [
-        ("power", irr.kappa_sample_size_power(0.4, 0.5, 0.8, 0.7)),
-        ("power_twosided", irr.kappa_sample_size_power(0.4, 0.5, 0.8, 0.7, twosided=True)),
-        ("ci", irr.kappa_sample_size_ci(0.8, 0.7, 0.5)),
-        ("ci_twosided", irr.kappa_sample_size_ci(0.8, 0.7, 0.5, kappaU=0.9)),
+        ("power", irr.kappa_sample_size_power(rate1=0.4, rate2=0.5, k1=0.8, k0=0.7)),
+        ("power_twosided", irr.kappa_sample_size_power(rate1=0.4, rate2=0.5, k1=0.8, k0=0.7, twosided=True)),
+        ("ci", irr.kappa_sample_size_ci(kappa0=0.8, kappaL=0.7, props=0.5)),
+        ("ci_twosided", irr.kappa_sample_size_ci(kappa0=0.8, kappaL=0.7, props=0.5, kappaU=0.9)),
     ]
     return spark.createDataFrame(rows, "kind string, n int")
 
 
-# --- clusters, components, topics -----------------------------------------------------------------------------------
+# Clusters, components, topics
 
 
 def _vectors(spark, sf_dir):
@@ -535,7 +535,7 @@ def corex_topics(spark, sf_dir):
     return _topics(spark, sf_dir, "corex", max_iter=10)
 
 
-# --- dates, entities, words -----------------------------------------------------------------------------------------
+# Dates, entities, words
 
 
 @query("select o_orderkey, date_trunc('day', o_orderdate) as ts, strftime(o_orderdate, '%B %-d, %Y') as raw from orders")

@@ -14,7 +14,7 @@ def test_sample_sizes():
         irr.kappa_sample_size_ci(0.7, 0.7, 0.5)
 
 
-CODES = {"code": [1, 0, 1, 1, 0, 1, 0, 1, 0, 0], "same": [1, 0, 1, 0, 0] * 2, "flat": [1] * 10}
+CODES = {k: [int(c) for c in v] for k, v in {"code": "1011010100", "same": "1010010100", "flat": "1" * 10}.items()}
 WEIGHT = [0.5, 1.5, 1.0, 0.75, 0.175] * 2
 
 

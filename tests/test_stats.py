@@ -15,7 +15,7 @@ def test_sample_sizes():
 
 
 CODES = {k: [int(c) for c in v] for k, v in {"code": "1011010100", "same": "1010010100", "flat": "1" * 10}.items()}
-WEIGHT = [0.5, 1.5, 1.0, 0.75, 0.175] * 2
+WEIGHT = [float(x) for x in "0.5 1.5 1 0.75 0.175".split()] * 2
 
 
 @pytest.fixture(scope="module")
@@ -25,14 +25,14 @@ def coders(spark):
 
 
 def test_scores(coders):
-    s = irr.scores(coders, 1, 2, "code", "doc", "coder", "weight", pos_label=1).first()
+    s = irr.scores(coders, 1, 2, outcome_column="code", document_column="doc", coder_column="coder", weight_column="weight", pos_label=1).first()
     want = {"cohens_kappa": 0.63, "matthews_corrcoef": 0.68, "accuracy": 0.81, "precision": 1.0, "recall": 0.67, "f1": 0.8, "roc_auc": 0.83, "coder1_mean": 0.57, "coder2_mean": 0.38, "coder1_std": 0.29, "coder2_std": 0.28, "coder1_mean_unweighted": 0.6, "coder2_mean_unweighted": 0.4, "coder1_std_unweighted": 0.24, "alpha_unweighted": 0.64, "pct_agree_unweighted": 0.8}
     assert {k: round(s[k], 2) for k in want} == want and s.n == 5
 
 
 def test_scores_without_variation(coders):
     for column in ("same", "flat"):
-        s = irr.scores(coders, 1, 2, column, "doc", "coder", "weight", pos_label=1).first()
+        s = irr.scores(coders, 1, 2, column, document_column="doc", coder_column="coder", weight_column="weight", pos_label=1).first()
         assert (s.alpha_unweighted, s.cohens_kappa, s.matthews_corrcoef, s.f1) == (1.0, 1.0, 1.0, 1.0)
         assert s.roc_auc == (None if column == "flat" else 1.0)
     o = irr.overall_scores(coders, "code", "doc", "coder").first()

@@ -53,7 +53,7 @@ THREE = [("c1", 1, "2"), ("c1", 2, "1"), ("c1", 3, "0"), ("c2", 1, "2"), ("c2",
 )
 def test_scores_of_three_documents(spark, label, want):
     df = spark.createDataFrame(THREE, "coder string, document int, code string")
-    s = irr.scores(df, "c1", "c2", "code", "document", "coder", pos_label=label).first()
+    s = irr.scores(df, "c1", "c2", "code", document_column="document", coder_column="coder", pos_label=label).first()
     for k, v in want.items():
         assert s[k] == (None if v is None else pytest.approx(v, abs=1e-6)), k
 

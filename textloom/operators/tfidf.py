@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.runtime import materialise, require
+from textloom.runtime import materialise, partitions, require
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,14 @@ def terms_of(text: Column, o: Options) -> Column:
 
 
 def counts(df: DataFrame, id_col: str, text_col: str, o: Options) -> DataFrame:
-    """(doc_id, term, tf); texts that are null are left out."""
-    terms = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(terms_of(F.col(text_col), o)).alias("term"))
+    """(doc_id, term, tf); texts that are null are left out.
+
+    The texts are shuffled by id before they are cut up, which is less than their postings; grouping by id and term
+    needs no further shuffle then.
+    """
+    texts = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts.repartition(partitions(df.sparkSession), "doc_id")
+    terms = texts.select("doc_id", F.explode(terms_of(F.col("text"), o)).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 

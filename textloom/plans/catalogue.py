@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import dates, fuzzy, language
 from textloom.functions import text as tx
 from textloom.operators import clustering, cooccurrence, decomposition, irr, pmi, sampling, similarity, tfidf, topics
-from textloom.runtime import materialise
+from textloom.runtime import materialise, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def r6(*names):

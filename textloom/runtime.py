@@ -64,3 +64,25 @@ def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
+
+
+#: A core's share of a table up to which ``spread`` thinks of it as small.
+SMALL_SHARE = 64 << 20
+
+
+def partitions(spark: SparkSession) -> int:
+    """Partitions for rows that cost much each: enough for all cores, whatever their bytes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """A small table of fewer files than cores, hashed over all cores; any other table as it is.
+
+    A file of one row group is read by one task, however small the splits. Large tables have row groups enough, and
+    are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) < cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores, key or df.columns[0]) if 1 << 20 < size < cores * SMALL_SHARE else df

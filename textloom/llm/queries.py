@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 from textloom.llm import bpe, chat, decontaminate, katz, langid, licenses, linededup, pii, rules, simhash
+from textloom.runtime import spread
 
 
 def _table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_simhash_near_dedup(spark, sf_dir):

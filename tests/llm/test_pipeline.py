@@ -20,9 +20,9 @@ def _stage(name):
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     rng = random.Random(4)
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(16).collect()
     items = [r for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(5).collect()]
-    rows = [(r.doc_id, r.text[:1500], r.lang, r.source, len(r.text[:1500])) for r in docs]
+    rows = [(r.doc_id, r.text[:700], r.lang, r.source, len(r.text[:700])) for r in docs]
     base = rows[7]
     words = base[1].split()
     rows.append((10_001, base[1], base[2], base[3], base[4]))

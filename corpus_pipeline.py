@@ -14,8 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that stand in an earlier document are cut out; every document stays."""
-    return linededup.dedup_lines(docs)
+    """Runs of lines that stand in an earlier document are cut out; every document stays."""
+    return linededup.dedup_lines(docs, whole=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

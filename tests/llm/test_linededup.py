@@ -115,3 +115,73 @@ def test_odd_rows(spark, extra):
     assert sorted([r.text for r in out.select("text").collect()], key=str) == sorted(want, key=str)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.select("text", "n_chars").collect())
     assert linededup.dedup_lines(common.empty_docs(spark)).count() == 0
+
+
+def brute_whole(docs, hashes):
+    """The texts left when each line goes that is in a run that also stands at an earlier place."""
+    spots, spans = [], {}
+    for row, (key, text) in enumerate(docs):
+        raw, spans[row] = split(text or "")
+        spots += [((key is not None, key or 0, hashes.get(text, 0), k), row, k, raw[a:b]) for k, (a, b) in enumerate(spans[row])]
+    line = {(row, k): s for _, row, k, s in spots}
+    gone = set()
+    for place, row, k, s in spots:
+        for other, r, m, t in spots:
+            if s == t and other < place:
+                n = 0
+                while (row, k + n) in line and line[row, k + n] == line.get((r, m + n)):
+                    n += 1
+                run = [line[row, k + i] for i in range(n)]
+                if n >= 2 and len(b" ".join(run)) >= 60 or any(len(x.split()) > 50 for x in run):
+                    gone.update((row, k + i) for i in range(n) if n >= 2 and len(b" ".join(run)) >= 60 or len(run[i].split()) > 50)
+    out = []
+    for row, (_, text) in enumerate(docs):
+        raw = (text or "").encode()
+        for k in reversed(range(len(spans[row]))):
+            if (row, k) in gone:
+                raw = raw[: spans[row][k][0]] + (raw[spans[row][k + 1][0] :] if k + 1 < len(spans[row]) else b"")
+        out.append(None if text is None else raw.decode())
+    return out
+
+
+def test_whole_runs_against_brute_force(spark):
+    rng = random.Random(5)
+    pool = [f"{common.sentence(i, rng.choice([1, 2, 4, 9, 60]))}{rng.choice('.!?')}" for i in range(30)]
+    docs = []
+    for i in range(50):
+        parts = [f"own {common.sentence(100 + i * 7 + k, 6)}." for k in range(rng.randrange(0, 5))]
+        at = rng.randrange(len(pool) - 6)
+        parts[1:1] = pool[at : at + rng.randrange(0, 7)]
+        docs.append((i if i % 17 else None, rng.choice(["\n", " ", "\n\n"]).join(parts)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    order = [(r.doc_id, r.text) for r in df.collect()]
+    got = [r.text for r in linededup.dedup_lines(df, whole=True).collect()]
+    assert sorted(got) == sorted(brute_whole(order, spark_hashes(df)))
+
+
+def test_whole_passages_of_any_length_go(spark):
+    """Recall by length: all lines of passages of 2 to 10 lines, whatever stands around them; of one line, if it is long."""
+    docs, want = [], {}
+    for n in range(1, 11):
+        for k in range(20):
+            passage = [f"p{n}k{k} {common.sentence(n * 20 + k + i, 11)}." for i in range(n)]
+            for copy in (0, 1):
+                own = [f"own{n}k{k}c{copy} {common.sentence(copy + i, 9)} {copy}{i}." for i in range(2)]
+                docs.append((len(docs), " ".join([own[0], *passage, own[1]])))
+                want[docs[-1][0]] = docs[-1][1] if n == 1 or copy == 0 else " ".join(own)
+    long = f"long {common.sentence(3, 51)}."
+    docs += [(1000, f"Begin here. {long} Over."), (1001, f"Start there. {long} Done.")]
+    want |= {1000: docs[-2][1], 1001: "Start there. Done."}
+    out = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), report=True, whole=True).collect()
+    assert {r.doc_id: r.text for r in out} == want
+    assert {r.removed_chunks for r in out if r.text != dict(docs)[r.doc_id]} == {1}
+    chunks = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sum(len(r.text) for r in chunks) > 1.2 * sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_whole_odd_rows(spark, extra):
+    docs = common.odd_docs(spark, extra).coalesce(1)
+    out = linededup.dedup_lines(docs, whole=True)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert linededup.dedup_lines(common.empty_docs(spark), whole=True).count() == 0

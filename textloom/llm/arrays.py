@@ -55,7 +55,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, n at least."""
     if _POW["n"] < n + 1:
         size = max(n + 1, SLICE_BYTES + 1)
         for name, base in (("pow", _BASE), ("inv", _INV)):
@@ -68,7 +69,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of the byte spans; they depend on the bytes alone, not on where the span lies."""
-    pw, inv = _powers(len(data))
+    pw, inv = powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[: len(data)], out=total[1:])
     h = (total[ends] - total[starts]) * inv[starts]

@@ -14,6 +14,8 @@ from textloom.runtime import require
 DIVISOR = 2
 #: Only chunks of at least so many lines and bytes are removed.
 MIN_LINES, MIN_BYTES = 2, 60
+#: A single line repeats by itself when it has more words than this.
+LINE_WORDS = 50
 #: Size of the bitmap of repeated hashes.
 BITMAP_BITS = 27
 
@@ -77,13 +79,71 @@ def _removable(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return a[ok], b[ok], row[ok], h[ok], after[ok], data, offs
 
 
-def repeated_bits(texts: DataFrame) -> np.ndarray:
+def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First and last line and hash of each shortest run worth removing, and start, end and row of all lines.
+
+    From each line on, and up to each line, the shortest run of MIN_LINES lines and MIN_BYTES bytes, or the line
+    alone if it has over LINE_WORDS words. A run depends on its lines alone, not on what surrounds them or on the
+    white space between them. Every longer repeated run is covered by those inside it: a line from which none begins
+    in the run lies in the one that ends with the run's last line.
+    """
+    start, end, row = lines(data, offs)
+    n = len(start)
+    if n == 0:
+        z = np.zeros(0, np.int64)
+        return z, z, z.astype(np.uint64), start, end, row
+    space = _SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    begins[start] = True
+    words = np.r_[0, np.cumsum(begins)]
+    alone = words[end] - words[start] > LINE_WORDS
+    size = np.r_[0, np.cumsum(end - start + 1)]
+    at = np.arange(n)
+    to = np.maximum(np.searchsorted(size, size[:-1] + MIN_BYTES + 1) - 1, at + MIN_LINES - 1)
+    to = np.where(alone, at, to)
+    fits = to < n
+    fits[fits] = row[to[fits]] == row[fits]
+    since = np.minimum(np.searchsorted(size, size[1:] - MIN_BYTES - 1, side="right") - 1, at - MIN_LINES + 1)
+    since = np.where(alone, at, since)
+    new = since >= 0
+    new[new] = (row[since[new]] == row[new]) & (to[since[new]] != at[new])
+    first, last = np.r_[at[fits], since[new]], np.r_[to[fits], at[new]]
+    pw, inv = A.powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(A.span_hashes(data, start, end) * pw[:n], out=total[1:])
+    h = A.mix((total[last + 1] - total[first]) * inv[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return first, last, h, start, end, row
+
+
+def _runs(texts: pa.Array) -> tuple:
+    """Row, hash, start and place of the next line (or the row's end) of the windows, and their lines' bytes by index."""
+    data, offs = A.text_bytes(texts)
+    first, last, h, start, end, row = windows(data, offs)
+    after = np.r_[start[1:], 0][: len(start)]
+    final = np.r_[row[1:] != row[:-1], True][: len(start)]
+    after = np.where(final, offs[row + 1], after) if len(start) else after
+    raw = data.tobytes()
+
+    def bodies(picked: np.ndarray) -> list[bytes]:
+        return [b"\n".join([raw[start[k] : end[k]] for k in range(i, j + 1)]) for i, j in zip(first[picked].tolist(), last[picked].tolist())]
+
+    return row[first], h, start[first], after[last], offs, bodies
+
+
+def _chunks(texts: pa.Array) -> tuple:
+    """As ``_runs``, of the chunks."""
+    a, b, row, h, after, data, offs = _removable(texts)
+    return row, h, a, after, offs, lambda picked: [data[i:j].tobytes() for i, j in zip(a[picked].tolist(), b[picked].tolist())]
+
+
+def repeated_bits(texts: DataFrame, pieces=_chunks) -> np.ndarray:
     """A bitmap of BITMAP_BITS with the bits of the hashes that occur twice or more, and of others by chance."""
 
     def run(batches):
         for batch in batches:
             for s in A.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(_removable(A.column(s, "text"))[3].view(np.int64))], ["hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(pieces(A.column(s, "text"))[1].view(np.int64))], ["hash"])
 
     twice = texts.mapInArrow(run, "hash long").groupBy("hash").count().filter("count > 1")
     slot = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
@@ -93,9 +153,14 @@ def repeated_bits(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", report: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", report: bool = False, whole: bool = False) -> DataFrame:
     """``docs`` with every repeated chunk of two or more lines removed, but for its first occurrence.
 
+    ``whole`` removes every repeated run of lines instead, from its first line to its last, wherever chunks would end:
+    all runs of two or more lines and 60 bytes, and single lines of over 50 words, that stand at an earlier place
+    too. Equal lines are equal whatever white space is between them. What is said of chunks below then goes for these
+    runs; runs that touch are cut, and reported, as one.
+
     Three passes. The first counts the hashes of chunks, without texts. Those seen twice go into a bitmap of fixed
     size (16 MB); should it fill up, more chunks than need be take part in the second pass, which shuffles the bytes
     of the chunks that may repeat, by hash, and compares them byte by byte. The third joins what is to be cut to the
@@ -111,26 +176,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     require(docs, id_col, text_col)
     text, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
     texts = docs.select(key.alias("id"), text.alias("text")).filter("text is not null")
-    sent = docs.sparkSession.sparkContext.broadcast(repeated_bits(texts.select("text")))
+    pieces = _runs if whole else _chunks
+    sent = docs.sparkSession.sparkContext.broadcast(repeated_bits(texts.select("text"), pieces))
 
     def pick(batches):
         for batch in batches:
             for s in A.slices(batch, "text"):
-                a, b, row, h, after, data, offs = _removable(A.column(s, "text"))
+                row, h, a, after, offs, bodies = pieces(A.column(s, "text"))
                 slot = h >> np.uint64(64 - BITMAP_BITS)
                 ok = np.flatnonzero((sent.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
-                a, b, row, h, after = a[ok], b[ok], row[ok], h[ok], after[ok]
+                a, row, h, after = a[ok], row[ok], h[ok], after[ok]
                 at = offs[row]
                 take = pa.array(row)
-                bodies = pa.array([data[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [A.column(s, "id").take(take), A.column(s, "text_hash").take(take), pa.array(h.view(np.int64)), pa.array((a - at).astype(np.int32)), pa.array((after - at).astype(np.int32)), bodies],
+                    [A.column(s, "id").take(take), A.column(s, "text_hash").take(take), pa.array(h.view(np.int64)), pa.array((a - at).astype(np.int32)), pa.array((after - at).astype(np.int32)), pa.array(bodies(ok), pa.binary())],
                     ["id", "text_hash", "hash", "start", "stop", "body"],
                 )
 
     picked = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(pick, "id long, text_hash long, hash long, start int, stop int, body binary")
     same = Window.partitionBy("hash", "body").orderBy("id", "text_hash", "start")
     gone = picked.repartition("hash").withColumn("copy", F.dense_rank().over(same)).filter("copy > 1")
+    if whole:
+        order = Window.partitionBy("id", "text_hash").orderBy("start", "stop")
+        reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        apart = gone.select("id", "text_hash", "start", "stop").withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+        apart = apart.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        gone = apart.groupBy("id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     cuts = gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__cuts"))
     cuts = cuts.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__cuts")
     on = key.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))

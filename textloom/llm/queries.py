@@ -30,7 +30,7 @@ def op3_benchmark_decontamination(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    return linededup.dedup_lines(_table(spark, sf_dir, "documents"), report=True)
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"), report=True, whole=True)
 
 
 def op5_license_scan(spark, sf_dir):

@@ -97,3 +97,55 @@ def test_odd_rows(spark, extra):
     assert by[2].text is None and by[2].n_entities is None and by[3].text == "" and by[3].n_entities == 0
     assert by[8].text == docs.filter("doc_id = 8").first().text
     assert pii.sanitise(common.empty_docs(spark)).count() == 0
+
+
+def _brute_whole(docs, support):
+    """(sanitised text, number of terms) by counting sets of whole texts."""
+    words = lambda t: [m for m in re.finditer(r"\w+", t) if not any(a < m.end() and m.start() < b for a, b, _, _ in pii.entities(t))]
+    df = Counter(w for _, t in docs for w in set(re.findall(r"\w+", t.lower())))
+    ents, pairs = Counter(), Counter()
+    for _, t in docs:
+        found = {e[2:] for e in pii.entities(t)}
+        ents.update(found)
+        pairs.update((e, w) for e in found for w in {m.group().lower() for m in words(t)})
+    n = len(docs)
+    terms = {w for (e, w), k in pairs.items() if k >= support and math.log2(n * k / (df[w] * ents[e])) >= 0.8 * math.log2(n / ents[e])}
+    out = {}
+    for i, t in docs:
+        hits = [m for m in words(t) if m.group().lower() in terms]
+        cuts = {(a, b): f"[{k}]" for a, b, k, _ in pii.entities(t)} | {m.span(): "[NUMBER]" if m.group().isdigit() else "[NAME]" if m.group()[0].isupper() else "" for m in hits}
+        got, last = "", 0
+        for (a, b), by in sorted(cuts.items()):
+            got += t[last:a] + by
+            last = b + (by == "" and t[b : b + 1] == " ")
+        out[i] = got + t[last:], len(hits)
+    return out, terms
+
+
+def _far():
+    far = " ".join(f"the town of Springfield is large and well known to all number{k}" for k in range(10))
+    return [*_docs(), (50, f"Quuxberg Ünal {far} mail quux@mail.example.com"), (51, f"{far} quux@mail.example.com says Ünal from Quuxberg"), (52, "in the town Quuxberg and ünal")]
+
+
+def test_whole_texts_against_brute_force(spark):
+    docs = _far()
+    want, terms = _brute_whole(docs, 2)
+    assert {"zarquon", "quuxberg", "ünal"} <= terms and not {"the", "springfield"} & terms
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_terms) for r in pii.sanitise(df, whole=True).collect()}
+    assert got == want
+    assert got[44] == ("the [NAME] alone", 1) and "Quuxberg" not in "".join(t for t, _ in got.values())
+    kept, pii.TERMS_AT_ONCE = pii.TERMS_AT_ONCE, 2
+    try:
+        assert {r.doc_id: (r.text, r.n_terms) for r in pii.sanitise(df, whole=True).collect()} == want
+    finally:
+        pii.TERMS_AT_ONCE = kept
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_whole_odd_rows(spark, extra):
+    out = pii.sanitise(common.odd_docs(spark, extra), whole=True)
+    by = {r.doc_id: r for r in out.collect() if r.doc_id}
+    assert out.columns == ["doc_id", "text", "n_entities", "n_terms"] and out.count() == 11
+    assert by[2].text is None and by[2].n_entities is None and by[3].text == "" and by[3].n_entities == 0
+    assert pii.sanitise(common.empty_docs(spark), whole=True).count() == 0

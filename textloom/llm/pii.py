@@ -35,6 +35,11 @@ DISCLOSURE = 0.8
 #: Candidate terms whose text counts are taken in one pass (9 bytes each at a worker).
 TERMS_AT_ONCE = 4_000_000
 
+#: Distinct terms that a task holds before it passes their counts on.
+_HELD = 2_000_000
+#: What a masked place looks like.
+_PLACE = re.compile(rb"\[(?:NAME|NUMBER|" + "|".join(sorted({k for k, _ in ENTITIES})).encode() + rb")\]")
+
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 _ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(ENTITIES)))
 _TABLE_BITS = 22
@@ -162,7 +167,163 @@ def disclosures(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return weighed.filter((F.col("information") > 0) & (F.col("pmi") >= DISCLOSURE * F.col("information")))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in its row's bytes, the row, and the hash of the lower-case form.
+
+    Lower case turns word bytes into word bytes, so the words of both forms correspond one by one.
+    """
+    data, offs = A.text_bytes(texts)
+    a, b, row = A.word_spans(data, offs)
+    low, low_offs = A.text_bytes(pc.utf8_lower(texts))
+    x, y, _ = A.word_spans(low, low_offs)
+    return a - offs[row], b - offs[row], row, A.span_hashes(low, x, y)
+
+
+def _byte_spans(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int]]:
+    at, place, out = 0, 0, []
+    for a, b, _, _ in found:
+        begin = at + len(text[place:a].encode())
+        at, place = begin + len(text[a:b].encode()), b
+        out.append((begin, at))
+    return out
+
+
+def _free(a: np.ndarray, b: np.ndarray, taken: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the spans touch none of the (sorted, disjoint) ``taken`` ones."""
+    if not taken:
+        return np.ones(len(a), bool)
+    starts, ends = np.array(taken).T
+    return np.searchsorted(ends, a, side="right") == np.searchsorted(starts, b, side="left")
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(term, n_term): in how many texts each word occurs; a task adds up its own counts before they are shuffled."""
+
+    def merge(parts):
+        h, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        return h[first], np.add.reduceat(n, first)
+
+    def batch_of(h, n):
+        return pa.RecordBatch.from_arrays([_signed(h), pa.array(n)], ["term", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for s in A.slices(batch, "text"):
+                _, _, row, h = _words(A.column(s, "text"))
+                if len(h) == 0:
+                    continue
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
+                once = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                held.append((h[first], np.add.reduceat(once.astype(np.int64), first)))
+                size += len(first)
+                if size > _HELD:
+                    held = [merge(held)]
+                    size = len(held[0][0])
+                    if size > _HELD:
+                        yield batch_of(*held[0])
+                        held, size = [], 0
+        if held:
+            yield batch_of(*merge(held))
+
+    return texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def disclosing_terms(suspects: DataFrame, texts: DataFrame, support: int) -> DataFrame:
+    """(term) of the words that disclose some entity, by their co-occurrence over whole texts.
+
+    Of each text with entities every distinct word is weighed with every distinct entity. Nothing is collected.
+    """
+
+    def extract(batches):
+        for batch in batches:
+            for s in A.slices(batch, "text"):
+                a, b, row, h = _words(A.column(s, "text"))
+                first = A.row_starts(row, s.num_rows)
+                for k, text in enumerate(A.column(s, "text").to_pylist()):
+                    found = entities(text)
+                    if not found:
+                        continue
+                    part = slice(first[k], first[k + 1])
+                    terms = _signed(np.unique(h[part][_free(a[part], b[part], _byte_spans(text, found))]))
+                    terms = pa.concat_arrays([terms, pa.nulls(1, pa.int64())])
+                    for e in sorted({_entity_hash(kind, v) for _, _, kind, v in found}):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(e - (1 << 64) if e >> 63 else e, pa.int64()), len(terms)), terms], ["entity", "term"])
+
+    pairs = suspects.mapInArrow(extract, "entity long, term long").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = materialise(pairs, "pii-pairs")
+    n = float(max(texts.count(), 1))
+    entity = pairs.filter("term is null").select("entity", F.col("n_both").alias("n_entity"))
+    both = pairs.filter("term is not null").filter(F.col("n_both") >= support)
+    weighed = both.join(entity, "entity").join(term_counts(texts), "term")
+    pmi = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    information = F.log2(F.lit(n) / F.col("n_entity"))
+    return weighed.filter((information > 0) & (pmi >= DISCLOSURE * information)).select("term").distinct()
+
+
+def _sanitise_whole(texts: DataFrame, kind: str, support: int) -> DataFrame:
+    """``sanitise`` with co-occurrence over whole texts, and disclosing terms taken out of all texts."""
+    suspect = re.compile(SUSPECT)
+    is_suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
+    terms = materialise(disclosing_terms(texts.filter(is_suspect).select("text"), texts.select("text").filter("text is not null"), support), "pii-terms")
+    parts = max(1, -(-terms.count() // TERMS_AT_ONCE))
+    out = texts.select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_terms"))
+    schema = f"doc_id {kind}, text string, n_entities long, n_terms long"
+    for k in range(parts):
+        part = np.sort(terms.filter(F.pmod("term", F.lit(parts)) == k).toArrow().column("term").to_numpy().view(np.uint64))
+        table = np.zeros(1 << _TABLE_BITS, bool)
+        table[part >> np.uint64(64 - _TABLE_BITS)] = True
+        sent = texts.sparkSession.sparkContext.broadcast((part, table))
+
+        def mask(batches, sent=sent, k=k):
+            part, table = sent.value
+            for batch in batches:
+                for s in A.slices(batch, "text"):
+                    column = A.column(s, "text")
+                    a, b, row, h = _words(column)
+                    hit = np.flatnonzero(table[h >> np.uint64(64 - _TABLE_BITS)])
+                    if len(hit):
+                        slot = np.searchsorted(part, h[hit])
+                        slot[slot == len(part)] = 0
+                        hit = hit[part[slot] == h[hit]]
+                    a, b, first = a[hit], b[hit], A.row_starts(row[hit], s.num_rows)
+                    done, n_entities, n_terms = column.to_pylist(), A.column(s, "n_entities").to_pylist(), A.column(s, "n_terms").to_pylist()
+                    for i, text in enumerate(done):
+                        if text is None:
+                            n_entities[i] = n_terms[i] = None
+                            continue
+                        found = entities(text) if k == 0 and suspect.search(text) else []
+                        if not found and first[i] == first[i + 1]:
+                            continue
+                        raw = text.encode()
+                        taken = _byte_spans(text, found) if k == 0 else [m.span() for m in _PLACE.finditer(raw)]
+                        cuts = {x: f"[{kind}]".encode() for x, (_, _, kind, _) in zip(taken, found)}
+                        x, y = a[first[i] : first[i + 1]], b[first[i] : first[i + 1]]
+                        ok = _free(x, y, taken)
+                        for span in zip(x[ok].tolist(), y[ok].tolist()):
+                            word = raw[slice(*span)].decode()
+                            cuts[span] = b"[NUMBER]" if word.isdigit() else b"[NAME]" if word[:1].isupper() else b""
+                        pieces, last = [], 0
+                        for (x, y), by in sorted(cuts.items()):
+                            pieces += [raw[last:x], by]
+                            last = y + (by == b"" and raw[y : y + 1] == b" ")
+                        done[i] = b"".join([*pieces, raw[last:]]).decode()
+                        n_entities[i] += len(found)
+                        n_terms[i] += len(cuts) - len(found)
+                    yield pa.RecordBatch.from_arrays([A.column(s, "doc_id"), pa.array(done, pa.string()), pa.array(n_entities, pa.int64()), pa.array(n_terms, pa.int64())], ["doc_id", "text", "n_entities", "n_terms"])
+
+        out = out.mapInArrow(mask, schema)
+        if k + 1 < parts:
+            out = materialise(out, "pii-masked")
+    return out
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, text, n_entities, n_terms), one row for each row of ``docs``: what identifies people is taken out.
 
     Addresses, numbers and secrets (ENTITIES) are masked by their kind. A word within 12 words of an entity, shared
@@ -170,6 +331,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     over all texts reaches 0.8 of the entity's information, that is when seeing the word nearly gives the entity
     away. Such words become [NAME] (capital) or [NUMBER], or are removed.
 
+    ``whole`` weighs all words of a text with its entities, however far off, and takes disclosing words out of all
+    texts, also of those without any entity. Terms are sent to the workers TERMS_AT_ONCE at a time.
+
     Texts that can't hold an entity pass through one filter and projection; the others are written apart, and only
     these are joined. Text counts of the candidates are taken in one pass over all texts (several, if there are more
     than TERMS_AT_ONCE). Null texts stay null with null counts, empty ones stay empty. Repeated rows are rows of
@@ -178,6 +342,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     require(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if whole:
+        return _sanitise_whole(texts, kind, MIN_SUPPORT)
     suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
     zero = F.when(F.col("text").isNotNull(), F.lit(0).cast("long"))
     clean = texts.filter(~suspect).select("doc_id", "text", zero.alias("n_entities"), zero.alias("n_terms"))

@@ -149,3 +149,12 @@ def test_whole_odd_rows(spark, extra):
     assert out.columns == ["doc_id", "text", "n_entities", "n_terms"] and out.count() == 11
     assert by[2].text is None and by[2].n_entities is None and by[3].text == "" and by[3].n_entities == 0
     assert pii.sanitise(common.empty_docs(spark), whole=True).count() == 0
+
+
+def test_entities_of_one_text_are_weighed(spark):
+    docs = [*_far(), (60, "the agent Plonk is at plonk@mail.example.com and well known to all")]
+    want, terms = _brute_whole(docs, 1)
+    assert "plonk" in terms and "plonk" not in _brute_whole(docs, 2)[1] and not {"the", "and", "springfield"} & terms
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_terms) for r in pii.sanitise(df, whole=True, support=1).collect()}
+    assert got == want and "[NAME]" in got[60][0]

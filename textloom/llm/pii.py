@@ -323,7 +323,7 @@ def _sanitise_whole(texts: DataFrame, kind: str, support: int) -> DataFrame:
     return out
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, support: int = MIN_SUPPORT) -> DataFrame:
     """(doc_id, text, n_entities, n_terms), one row for each row of ``docs``: what identifies people is taken out.
 
     Addresses, numbers and secrets (ENTITIES) are masked by their kind. A word within 12 words of an entity, shared
@@ -332,7 +332,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wh
     away. Such words become [NAME] (capital) or [NUMBER], or are removed.
 
     ``whole`` weighs all words of a text with its entities, however far off, and takes disclosing words out of all
-    texts, also of those without any entity. Terms are sent to the workers TERMS_AT_ONCE at a time.
+    texts, also of those without any entity; with ``support`` 1, also those that share a single text with the entity,
+    by the same measure. Terms are sent to the workers TERMS_AT_ONCE at a time.
 
     Texts that can't hold an entity pass through one filter and projection; the others are written apart, and only
     these are joined. Text counts of the candidates are taken in one pass over all texts (several, if there are more
@@ -343,7 +344,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wh
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if whole:
-        return _sanitise_whole(texts, kind, MIN_SUPPORT)
+        return _sanitise_whole(texts, kind, support)
     suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
     zero = F.when(F.col("text").isNotNull(), F.lit(0).cast("long"))
     clean = texts.filter(~suspect).select("doc_id", "text", zero.alias("n_entities"), zero.alias("n_terms"))

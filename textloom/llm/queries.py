@@ -42,7 +42,7 @@ def op6_katz_lm_scoring(spark, sf_dir):
 
 
 def op7_pii_sanitisation(spark, sf_dir):
-    return pii.sanitise(_table(spark, sf_dir, "documents"), whole=True)
+    return pii.sanitise(_table(spark, sf_dir, "documents"), whole=True, support=1)
 
 
 def op8_bpe_encode_decode(spark, sf_dir):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from textloom.llm import bpe, chat, decontaminate, katz, langid, licenses, linededup, pii, rules, simhash
+from textloom.llm import bpe, chat, decontaminate, katzwords, langid, licenses, linededup, pii, rules, simhash
 from textloom.runtime import spread
 
 
@@ -38,7 +38,7 @@ def op5_license_scan(spark, sf_dir):
 
 
 def op6_katz_lm_scoring(spark, sf_dir):
-    return katz.fit_and_score(_table(spark, sf_dir, "documents"))
+    return katzwords.fit_and_score(_table(spark, sf_dir, "documents"))
 
 
 def op7_pii_sanitisation(spark, sf_dir):

@@ -143,3 +143,27 @@ def test_cooccurrence(spark):
 def test_bound_is_a_bound():
     for a, b in (("abc", "abcd"), ("a", "bbbb"), ("xyz", "zyx")):
         assert fuzzy.fuzzy_ratio_value(a, b) <= 200 * min(len(a), len(b)) / (len(a) + len(b))
+
+
+def test_fragments_of_unlike_texts(spark, tmp_path):
+    """The query looks at all pairs from the mean similarity on: against brute force, with pairs under 0.5."""
+    from textloom.functions import fuzzy
+    from textloom.plans import catalogue
+
+    shared = "The passage stands in both of them."
+    texts = [" ".join(f"w{d}x{(k * 7) % 23}" for k in range(40)) + "." for d in range(40)]
+    texts = [f"{t} {shared}" if d in (1, 4) else t for d, t in enumerate(texts)] + [f"{texts[5]} Another end."]
+    df = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = {}
+    for r in catalogue.corpus(spark, str(tmp_path)).postings.collect():
+        vecs.setdefault(r.doc_id, {})[r.term] = r.weight
+    sim = {(a, b): sum(w * vecs[b].get(t, 0) for t, w in vecs[a].items()) for a in vecs for b in vecs}
+    pairs = [(a, b) for (a, b), s in sim.items() if a < b and sum(sim.values()) / len(vecs) ** 2 <= s < 0.997]
+    assert sim[1, 4] < 0.5 and (1, 4) in pairs
+    both = spark.createDataFrame([(texts[a], texts[b]) for a, b in pairs], "a string, b string")
+    want = {}
+    for r in both.select(fuzzy.text_overlaps("a", "b", 15, True)).collect():
+        for f in r[0]:
+            want[f] = want.get(f, 0) + 1
+    assert {r.fragment: r.pairs for r in catalogue.overlap_fragments(spark, str(tmp_path)).collect()} == want and shared in want

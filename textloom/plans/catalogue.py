@@ -218,7 +218,7 @@ def find_duplicates(spark, sf_dir):
 
 @query()
 def overlap_fragments(spark, sf_dir):
-    return similarity.corpus_fragments(corpus(spark, sf_dir), min_similarity=0.5)
+    return similarity.corpus_fragments(corpus(spark, sf_dir))
 
 
 @query(f"""with s as (select conv_id, turn, {_SENT.format(n=10)} as s from conversations)

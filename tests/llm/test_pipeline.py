@@ -72,3 +72,12 @@ def test_odd_rows_and_empty_tables(spark, folder, name):
         out = _stage(name)(spark, docs, folder)
         assert name == "bpe_encoding" or out.columns == docs.columns
         out.collect()
+
+
+def test_copies_that_line_dedup_emptied_go(spark, folder):
+    text = " ".join(f"{common.sentence(k, 11)}." for k in range(6))
+    rows = [(i, text, "en", "src0", len(text)) for i in range(1, 6)] + [(9, "!!", "en", "src0", 2), (None, "", "en", "src0", 0), (10, None, "en", "src0", None)]
+    docs = _stage("line_dedup")(spark, spark.createDataFrame(rows, common.DOCS), folder)
+    assert sorted(r.doc_id for r in docs.collect() if r.text == "" and r.doc_id) == [2, 3, 4, 5]
+    left = sorted([(r.doc_id, r.text) for r in _stage("near_duplicates")(spark, docs, folder).collect()], key=str)
+    assert left == sorted([(1, text), (2, ""), (9, "!!"), (None, ""), (10, None)], key=str)

@@ -38,43 +38,99 @@ SENTENCES = [
     ("CCBYSA4", "Licensed under CC BY-SA 4.0."),
     ("CC0", "Released into the public domain under CC0 1.0."),
     ("AllRights", "All rights reserved."),
+    ("BSDasis", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("BSDliab", "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISCasis", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("EPL2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL2lead", "Licensed under the Eclipse Public License 2.0."),
+    ("EPL1", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("UNfree", "This is free and unencumbered software released into the public domain."),
+    ("UNanyone", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("ZLIBasis", "This software is provided 'as-is', without any express or implied warranty."),
+    ("ZLIBliab", "In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("ZLIBgrant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 ]
 
-_GNU, _FSF = "GNU General Public License", "Free Software Foundation"
+#: Variable parts of known sentences, as patterns over normalised text that both engines read alike, and what stands for them.
+SLOTS = [
+    ("neither the name", "^neither the names? of .+ nor the names of (its|their|any) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("this software is provided by", "^this software is provided by .+ as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    ("in no event shall", "^in no event shall .+ be liable for any direct", "in no event shall the copyright holder or contributors be liable for any direct"),
+    ("in no event shall", "^in no event shall .+ be liable for any claim", "in no event shall the authors or copyright holders be liable for any claim"),
+    ("redistributions of source code", "^redistributions of source code must retain the .*copyright notice this list of conditions and the following disclaimer$", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("redistributions in binary form", "^redistributions in binary form must reproduce the .*copyright notice", "redistributions in binary form must reproduce the above copyright notice"),
+]
+
+_FSF = "Free Software Foundation"
+#: The GNU licences: key, name in the header, name of the rule, versions.
+_GNU = [("GPL", "GNU General Public License", "GPL", "23"), ("LGPL", "GNU Lesser General Public License", "LGPL", "2.1 3"), ("AGPL", "GNU Affero General Public License", "AGPL", "3"), ("OLGPL", "GNU Library General Public License", "LGPL", "2")]
+
+
+def _versions(text: str) -> list[str]:
+    return text.split() if " " in text else list(text)
 
 
 def _gnu() -> list[tuple[str, str]]:
-    """The headers of both versions, for programs and libraries, ended by ; or : as they are found."""
+    """The headers of all versions, for programs and libraries, ended by ; or : as they are found."""
     out = []
     for thing in ("program", "library"):
         out += [("GPLfree", f"This {thing} is free software"), ("GPLhope", f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY")]
-    out.append(("GPLterms", f"you can redistribute it and/or modify it under the terms of the {_GNU} as published by the {_FSF}"))
-    # the third version has a comma where the second has a semicolon
-    for version in "23":
-        out.append((f"GPL{version}later", f"either version {version} of the License, or (at your option) any later version."))
-    out.append(("GPL3terms", f"{out[-3][1]}, {out[-1][1]}"))
-    out += [("GPLeven", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."), ("GPLsee", f"See the {_GNU} for more details.")]
-    return out
+    out.append(("GPLeven", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."))
+    later: dict[str, str] = {}
+    for key, name, _, versions in _GNU:
+        terms = f"you can redistribute it and/or modify it under the terms of the {name} as published by the {_FSF}"
+        out += [(f"{key}terms", terms), (f"{key}see", f"See the {name} for more details.")]
+        for version in _versions(versions):
+            later[version] = f"either version {version} of the License, or (at your option) any later version."
+            # some have a comma where others have a semicolon
+            out.append((f"{key}{version}terms", f"{terms}, {later[version]}"))
+    return out + [(f"GPL{version}later", text) for version, text in later.items()]
+
+
+def _gnu_rules() -> list[tuple[str, list[str]]]:
+    """Whole headers first, then their beginnings."""
+    whole, short = [], []
+    for key, _, name, versions in _GNU:
+        for version in _versions(versions):
+            label = f"{name}-{version if '.' in version else version + '.0'}-or-later"
+            heads = [["GPLfree", f"{key}{version}terms"], ["GPLfree", f"{key}terms", f"GPL{version}later"]]
+            whole += [(label, [*h, "GPLhope", "GPLeven", f"{key}see"]) for h in heads]
+            short += [(label, h) for h in heads]
+    return whole + short
 
 
 SENTENCES += _gnu()
 
+
+def _after_rights(rules):
+    """Each rule also with the "All rights reserved" of the copyright line before it, which is no statement of its own then."""
+    return [(name, x) for name, run in rules for x in (["AllRights", *run], run)]
+
+
 #: Licences and the runs of identifiers that make them, longest first; each recognised run is used up.
 RULES = [
-    ("MIT", ["MITgrant", "MITnotice", "MITasis", "MITliab"]),
-    ("Apache-2.0", ["Apache2header", "ApacheNotUse", "ApacheCopy", "ApacheAsis"]),
-    ("BSD-3-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDendorse"]),
-    ("BSD-2-Clause", ["BSDgrant", "BSDsource", "BSDbinary"]),
-    ("GPL-3.0-or-later", ["GPLfree", "GPL3terms", "GPLhope", "GPLeven", "GPLsee"]),
-    ("GPL-2.0-or-later", ["GPLfree", "GPLterms", "GPL2later", "GPLhope", "GPLeven", "GPLsee"]),
-    ("GPL-3.0-or-later", ["GPLfree", "GPL3terms"]),
-    ("GPL-3.0-or-later", ["GPLfree", "GPLterms", "GPL3later"]),
-    ("GPL-2.0-or-later", ["GPLfree", "GPLterms", "GPL2later"]),
+    *_after_rights([
+        ("MIT", ["MITtitle", "MITgrant", "MITnotice", "MITasis", "MITliab"]),
+        ("MIT", ["MITgrant", "MITnotice", "MITasis", "MITliab"]),
+        ("Apache-2.0", ["Apache2header", "ApacheNotUse", "ApacheCopy", "ApacheAsis"]),
+        ("BSD-3-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDendorse", "BSDasis", "BSDliab"]),
+        ("BSD-2-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDasis", "BSDliab"]),
+        ("BSD-3-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDendorse"]),
+        ("BSD-2-Clause", ["BSDgrant", "BSDsource", "BSDbinary"]),
+        ("ISC", ["ISCgrant", "ISCasis"]),
+    ]),
+    *_gnu_rules(),
+    ("EPL-2.0", ["EPL2"]),
+    ("EPL-1.0", ["EPL1"]),
+    ("Unlicense", ["UNfree", "UNanyone"]),
+    ("Unlicense", ["UNfree"]),
+    ("Zlib", ["ZLIBasis", "ZLIBliab", "ZLIBgrant"]),
     ("ISC", ["ISCgrant"]),
     ("MPL-2.0", ["MPL2"]),
     ("MIT", ["MITlead"]),
     ("MIT", ["MITtitle"]),
     ("Apache-2.0", ["Apache2lead"]),
+    ("EPL-2.0", ["EPL2lead"]),
     ("GPL-3.0-only", ["GPL3lead"]),
     ("GPL-2.0-only", ["GPL2lead"]),
     ("CC-BY-NC-4.0", ["CCBYNC4"]),
@@ -89,8 +145,15 @@ _END = "[.:;!?]+[ \\t\\n\\r]|\\n[ \\t\\r]*\\n"
 _OTHER = "[^a-z0-9\\x01]+"
 
 
+#: Spellings of addresses that are brought to one, in normalised text.
+_SPELLINGS = [(" https www ", " http www "), (" https ", " http "), (" http www ", " http ")]
+
+
 def normalise(sentence: str) -> str:
-    return re.sub(_OTHER, " ", re.sub(_END, "\x01", sentence.lower() + " ")).strip(" \x01").replace(" \x01 ", "\x01")
+    out = re.sub(_OTHER, " ", re.sub(_END, "\x01", sentence.lower() + " "))
+    for a, by in _SPELLINGS:
+        out = out.replace(a, by)
+    return out.strip(" \x01").replace(" \x01 ", "\x01")
 
 
 def _known(sentences) -> dict[str, str]:
@@ -111,23 +174,45 @@ def _rules(sentences, rules) -> list[tuple[str, str]]:
     return [(name, "<" + "><".join(x for key in run for x in parts[key]) + ">") for name, run in rules]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
-    """(doc_id, sentence_ids, licenses, unmatched) of every document that holds a known licence sentence.
+def _parts(compiled) -> dict[str, list[str]]:
+    """For each licence of rules of several identifiers, these."""
+    out: dict[str, list[str]] = {}
+    for name, run in compiled:
+        ids = re.findall("<[^>]*>", run)
+        if len(ids) > 1:
+            out[name] = list(dict.fromkeys([*out.get(name, []), *(i for i in ids if i != "<AllRights>")]))
+    return out
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES, slots=SLOTS) -> DataFrame:
+    """(doc_id, sentence_ids, licenses, partly, unmatched) of every document that holds a known licence sentence.
 
-    Each text is cut in sentences, normalised to lower-case letters and digits; known ones become identifiers, in
-    order, as ``<A><B>``; all others drop out. Rules are tried in order and each run found is used up; ``licenses``
-    lists those found in the rules' order, ``unmatched`` the identifiers that no rule used. All of it is one
-    projection without user functions or shuffle. The rule set is small and of fixed size.
+    Each text is cut in sentences, normalised to lower-case letters and digits, with the variable parts of ``slots``
+    (names of holders) brought to one form; known ones become identifiers, in order, as ``<A><B>``; all others drop
+    out. Rules are tried in order, longer ones first, and each run found is used up; ``licenses`` lists those found in
+    the rules' order, ``unmatched`` the identifiers that no rule used, ``partly`` the licences not found of whose
+    rules some are among these. All of it is one projection without user functions or shuffle. The rule set is small
+    and of fixed size.
 
-    Null and empty texts have no licence and no row. Repeated rows are answered alike, null ids carried. Two licences
-    of one kind count once. Other columns are not read; an empty table gives an empty result.
+    Null and empty texts have no licence and no row; very long texts are scanned whole. Repeated rows are answered
+    alike, null ids carried. Two licences of one kind count once; where rules tie for the same sentences, the first
+    has them. Other columns are not read, whatever their names; an empty table gives an empty result.
     """
     require(docs, id_col, text_col)
     known = _known(sentences)
     compiled = _rules(sentences, rules)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     cut = F.regexp_replace(F.regexp_replace(F.concat(F.lower("text"), F.lit(" ")), _END, "\x01"), _OTHER, " ")
-    pieces = F.transform(F.split(cut, "\x01"), lambda x: F.trim(x))
+    for a, by in _SPELLINGS:
+        cut = F.replace(cut, F.lit(a), F.lit(by))
+
+    def one_form(x):
+        x = F.trim(x)
+        for start, pattern, by in slots:
+            x = F.when(x.startswith(start), F.regexp_replace(x, pattern, by)).otherwise(x)
+        return x
+
+    pieces = F.transform(F.split(cut, "\x01"), one_form)
     hits = F.filter(pieces, lambda x: x.isin(list(known)))
     names = F.create_map(*[F.lit(v) for pair in known.items() for v in pair])
     found_ids = F.transform(hits, lambda x: F.concat(F.lit("<"), F.try_element_at(names, x), F.lit(">")))
@@ -138,11 +223,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     for k, (name, run) in enumerate(compiled):
         found.append(F.when(F.contains(f"rest{k}", F.lit(run)), F.lit(name)))
         state = state.withColumn(f"rest{k + 1}", F.replace(f"rest{k}", F.lit(run), F.lit("|")))
-    licenses = F.array_join(F.array_distinct(F.array_compact(F.array(*found))), ",")
-    return state.select("doc_id", "sentence_ids", licenses.alias("licenses"), F.replace(f"rest{len(compiled)}", F.lit("|"), F.lit("")).alias("unmatched"))
+    left = F.replace(f"rest{len(compiled)}", F.lit("|"), F.lit(""))
+    state = state.withColumn("licenses", F.array_distinct(F.array_compact(F.array(*found)))).withColumn("unmatched", left)
+    partly = [F.when(F.greatest(F.lit(False), *[F.contains("unmatched", F.lit(i)) for i in ids]) & ~F.array_contains("licenses", name), F.lit(name)) for name, ids in _parts(compiled).items()]
+    partly = F.concat_ws(",", *partly) if partly else F.lit("")
+    return state.select("doc_id", "sentence_ids", F.array_join("licenses", ",").alias("licenses"), partly.alias("partly"), "unmatched")
 
 
-def oracle(table: str = "documents", sentences=SENTENCES, rules=RULES) -> str:
+def oracle(table: str = "documents", sentences=SENTENCES, rules=RULES, slots=SLOTS) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = _known(sentences)
     compiled = _rules(sentences, rules)
@@ -154,11 +242,19 @@ def oracle(table: str = "documents", sentences=SENTENCES, rules=RULES) -> str:
         steps += f", r{k} as (select *, replace(rest{k}, {quote(run)}, '|') as rest{k + 1} from {last})"
         last = f"r{k}"
     found = ", ".join(f"case when contains(rest{k}, {quote(run)}) then {quote(name)} end" for k, (name, run) in enumerate(compiled))
+    text = f"regexp_replace(regexp_replace(lower(text) || ' ', '{_END}', {soh}, 'g'), '{_OTHER}', ' ', 'g')"
+    for a, by in _SPELLINGS:
+        text = f"replace({text}, {quote(a)}, {quote(by)})"
+    form = "trim(x)"
+    for start, pattern, by in slots:
+        form = f"regexp_replace({form}, {quote(pattern)}, {quote(by)})"
+    left = f"replace(rest{len(compiled)}, '|', '')"
+    partly = ", ".join(f"case when ({' or '.join(f'contains({left}, {quote(i)})' for i in ids)}) and not list_contains(f, {quote(name)}) then {quote(name)} end" for name, ids in _parts(compiled).items())
     # first of each name only, in the rules' order
     return f"""
-with s as (select doc_id, string_split(regexp_replace(regexp_replace(lower(text) || ' ', '{_END}', {soh}, 'g'), '{_OTHER}', ' ', 'g'), {soh}) as p from documents where text is not null),
-h as (select doc_id, [map_extract({names}, trim(x))[1] for x in p if map_contains({names}, trim(x))] as a from s),
+with s as (select doc_id, [{form} for x in string_split({text}, {soh})] as p from documents where text is not null),
+h as (select doc_id, [map_extract({names}, x)[1] for x in p if map_contains({names}, x)] as a from s),
 ids as (select doc_id, '<' || array_to_string(a, '><') || '>' as sentence_ids, '<' || array_to_string(a, '><') || '>' as rest0 from h where len(a) > 0){steps},
 l as (select *, [{found}] as f from {last})
-select doc_id, sentence_ids, array_to_string([f[i] for i in range(1, len(f) + 1) if f[i] is not null and list_position(f, f[i]) = i], ',') as licenses, replace(rest{len(compiled)}, '|', '') as unmatched from l
+select doc_id, sentence_ids, array_to_string([f[i] for i in range(1, len(f) + 1) if f[i] is not null and list_position(f, f[i]) = i], ',') as licenses, concat_ws(',', {partly}) as partly, {left} as unmatched from l
 """.replace("from documents", f"from {table}")

@@ -74,3 +74,32 @@ def test_odd_rows(spark, extra):
     assert left.columns == docs.columns and left.count() == 8
     assert D.contaminated(common.empty_docs(spark), bench).count() == 0
     assert D.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_periodic_texts_against_brute_force():
+    """Repeated stretches, and pairs of places in parts, change nothing."""
+    rng = random.Random(3)
+    unit = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    items = [u * (90 // len(u)) for u in (unit(1), unit(2), unit(7))] + [(unit(3) * 10 + unit(12)) * 2]
+    texts = [_mutate(t + t[:60], rng, n) for t in items for n in (0, 9, 60)]
+    want = {(r, i) for r, t in enumerate(texts) for i, x in enumerate(items) if brute(t, x)}
+    assert 5 < len(want) < 0.9 * len(texts) * len(items)
+    index = D.Index(list(range(len(items))), items)
+    kept = D._PAIRS_AT_ONCE, D.REPEATS
+    for D._PAIRS_AT_ONCE, D.REPEATS in (kept, (50, 10**9), (50, 0), (kept[0], 10**9)):
+        assert {(m[0], int(index.ids[m[1]])) for m in D.find(index, pa.array(texts))} == want
+    D._PAIRS_AT_ONCE, D.REPEATS = kept
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "the quick brown fox jumps over the lazy dog and runs away from the wolf. "])
+def test_long_repetitive_texts_take_bounded_memory(unit):
+    import time
+    import tracemalloc
+
+    text = unit * (1_000_000 // len(unit))
+    tracemalloc.start()
+    begun = time.monotonic()
+    found = D.find(D.Index([1], [text]), pa.array([text, unit * 100, "nothing of it"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted({m[0] for m in found}) == [0, 1] and peak < 500e6 and time.monotonic() - begun < 60

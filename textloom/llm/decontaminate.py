@@ -18,6 +18,12 @@ WINDOW = 50
 EDIT_RATE = 0.08
 #: Bands of diagonals: each is BAND wide and reaches over into the next by the edit budget.
 BAND = 8
+#: Stretches of a text are the same for every match when they agree in so many letters; more than WINDOW and its edits.
+STRETCH = 64
+#: Places of a text that one q-gram may have before the text is gone through without its repeated stretches.
+REPEATS = 16
+#: Pairs of places of a text and an item that are held at once.
+_PAIRS_AT_ONCE = 1_000_000
 #: Benchmark letters whose q-grams go to the workers at once (16 bytes a letter); a larger benchmark takes several passes.
 INDEX_LETTERS = 4_000_000
 _TABLE_BITS = 20
@@ -43,12 +49,34 @@ def qgrams(data: np.ndarray) -> np.ndarray:
     return four[:-4] | (four[4:] << np.uint64(32))
 
 
+def distinct_stretches(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters and offsets of pieces of the rows that hold each different run of STRETCH letters of a row once, and their rows.
+
+    A match looks at no more than STRETCH letters of either side, so the pieces match what the rows match; but a
+    text of one line over and over is cut down to little more than the line.
+    """
+    parts, bounds, owner = [], [0], []
+    for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+        text = data[a:b]
+        cuts = [(0, b - a)]
+        if b - a > STRETCH:
+            at = np.arange(b - a - STRETCH + 1)
+            first = np.sort(np.unique(A.span_hashes(text, at, at + STRETCH), return_index=True)[1])
+            gap = np.flatnonzero(np.diff(first) > 1)
+            cuts = list(zip(first[np.r_[0, gap + 1]].tolist(), (first[np.r_[gap, len(first) - 1]] + STRETCH).tolist()))
+        for x, y in cuts:
+            parts.append(text[x:y])
+            bounds.append(bounds[-1] + y - x)
+            owner.append(r)
+    return np.concatenate([np.zeros(0, np.uint8), *parts]), np.array(bounds, np.int64), np.array(owner, np.int64)
+
+
 class Index:
-    """q-grams of some benchmark items: sorted, with the item and place of each."""
+    """q-grams of some benchmark items: sorted, with the item and place of each. An item may be several pieces."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        data, offs = letters(pa.array(texts, pa.string()))
-        self.ids, self.data, self.offs = np.array(ids, np.int64), data, offs
+        data, offs, owner = distinct_stretches(*letters(pa.array(texts, pa.string())))
+        self.ids, self.data, self.offs = np.array(ids, np.int64)[owner], data, offs
         grams = qgrams(data)
         item = np.searchsorted(offs, np.arange(len(grams)), side="right") - 1
         inside = np.arange(len(grams)) + Q <= offs[item + 1]
@@ -89,12 +117,12 @@ def window_edits(whole: np.ndarray, first: int, count: int, w: int, text: np.nda
     return cost.min(axis=1)
 
 
-def find(index: Index, arr: pa.Array) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits) of the matches; start and end count letters and digits of the row's text."""
-    data, offs = letters(arr)
+def _hits(index: Index, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose q-gram is in the index, their rows, and the q-grams' slots."""
     grams = qgrams(data)
     if len(grams) == 0 or len(index.grams) == 0:
-        return []
+        z = np.zeros(0, np.int64)
+        return z, z, z
     hit = np.flatnonzero(index.table[(grams * _MULTIPLIER) >> np.uint64(64 - _TABLE_BITS)])
     row = np.searchsorted(offs, hit, side="right") - 1
     inside = hit + Q <= offs[row + 1]
@@ -102,37 +130,84 @@ def find(index: Index, arr: pa.Array) -> list[tuple[int, int, int, int, int]]:
     slot = np.searchsorted(index.grams, grams[hit])
     slot[slot == len(index.grams)] = 0
     same = index.grams[slot] == grams[hit]
-    hit, row, slot = hit[same], row[same], slot[same]
+    return hit[same], row[same], slot[same]
+
+
+def find(index: Index, arr: pa.Array) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits) of the matches; start and end count letters and digits of the row's text.
+
+    Rows in which a q-gram of the index has more than REPEATS places are gone through by their different stretches,
+    and places are counted in these.
+    """
+    data, offs = letters(arr)
+    hit, row, slot = _hits(index, data, offs)
     if len(hit) == 0:
         return []
+    pair, times = np.unique(row * len(index.grams) + slot, return_counts=True)
+    again = np.unique(pair[times > REPEATS] // len(index.grams))
+    if len(again) == 0:
+        return _search(index, data, offs, hit, row, slot)
+    calm = ~np.isin(row, again)
+    out = _search(index, data, offs, hit[calm], row[calm], slot[calm])
+    for r in again.tolist():
+        text = data[offs[r] : offs[r + 1]]
+        parts, bounds, _ = distinct_stretches(text, np.array([0, len(text)]))
+        best: dict[int, tuple] = {}
+        for _, t, begin, end, edits in _search(index, parts, bounds, *_hits(index, parts, bounds)):
+            best[t] = max(best.get(t, (r, t, 0, 0, 0)), (r, t, begin, end, edits), key=lambda m: (m[3] - m[2], -m[4]))
+        out += best.values()
+    return out
+
+
+def _qualify(index: Index, hit, row, slot, offs, own: int) -> tuple[np.ndarray, ...]:
+    """(row, item, band, place, place of the last, diagonal) of those of the first ``own`` hits from which on enough lie in a window of a band."""
     count = index.first[slot + 1] - index.first[slot]
     post = np.repeat(index.first[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    row, place = np.repeat(row, count), np.repeat(hit, count) - np.repeat(offs[row], count)
+    mine = np.repeat(np.arange(len(hit)) < own, count)
+    row, place = np.repeat(row, count), np.repeat(hit - offs[row], count)
     item = index.item[post].astype(np.int64)
     diagonal = place - index.place[post]
     band = diagonal // BAND
     over = np.flatnonzero(diagonal - band * BAND < index.edits[item])  # these also count for the band before
     band = np.r_[band, band[over] - 1]
-    row, item, place, diagonal = (np.r_[x, x[over]] for x in (row, item, place, diagonal))
+    row, item, place, diagonal, mine = (np.r_[x, x[over]] for x in (row, item, place, diagonal, mine))
     order = np.lexsort((place, band, item, row))
-    row, item, place, band, diagonal = (x[order] for x in (row, item, place, band, diagonal))
-    least = index.least[item]
-    last = np.arange(len(row)) + least - 1
+    row, item, place, band, diagonal, mine = (x[order] for x in (row, item, place, band, diagonal, mine))
+    last = np.arange(len(row)) + index.least[item] - 1
     ok = last < len(row)
     last = np.where(ok, last, 0)
-    ok &= (row[last] == row) & (item[last] == item) & (band[last] == band) & (place[last] - place <= index.window[item] + index.edits[item] - Q)
-    found = []
-    seen = np.flatnonzero(ok)
-    if len(seen) == 0:
-        return found
-    key = np.stack([row[seen], item[seen], band[seen]])
-    new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0) | (place[seen][1:] > place[last[seen]][:-1] + WINDOW)]
+    ok &= mine & (row[last] == row) & (item[last] == item) & (band[last] == band) & (place[last] - place <= index.window[item] + index.edits[item] - Q)
+    ok = np.flatnonzero(ok)
+    return row[ok], item[ok], band[ok], place[ok], place[last[ok]], diagonal[ok]
+
+
+def _search(index: Index, data, offs, hit, row, slot) -> list[tuple[int, int, int, int, int]]:
+    """``find`` for given hits, some hundred thousand pairs of places at once."""
+    if len(hit) == 0:
+        return []
+    total = np.cumsum(index.first[slot + 1] - index.first[slot])
+    reach = int((index.window + index.edits).max())
+    parts, at = [], 0
+    while at < len(hit):
+        base = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, base + _PAIRS_AT_ONCE, side="right")))
+        # places count through all rows, so the hits that windows reach are those up to a place
+        upto = int(np.searchsorted(hit, hit[to - 1] + reach, side="right"))
+        parts.append(_qualify(index, hit[at:upto], row[at:upto], slot[at:upto], offs, to - at))
+        at = to
+    row, item, band, place, until, diagonal = (np.concatenate(x) for x in zip(*parts))
+    if len(row) == 0:
+        return []
+    order = np.lexsort((place, band, item, row))
+    row, item, band, place, until, diagonal = (x[order] for x in (row, item, band, place, until, diagonal))
+    key = np.stack([row, item, band])
+    new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0) | (place[1:] > until[:-1] + WINDOW)]
     cut = np.flatnonzero(new)
-    begin = place[seen[cut]]
-    end = np.maximum.reduceat(place[last[seen]], cut) + Q
-    done = set()
-    for k in np.lexsort((begin, begin - end, item[seen[cut]], row[seen[cut]])).tolist():
-        g = seen[cut[k]]
+    begin = place[cut]
+    end = np.maximum.reduceat(until, cut) + Q
+    found, done = [], set()
+    for k in np.lexsort((begin, begin - end, item[cut], row[cut])).tolist():
+        g = cut[k]
         r, t = int(row[g]), int(item[g])
         if (r, t) not in done:
             text, whole = data[offs[r] : offs[r + 1]], index.data[index.offs[t] : index.offs[t + 1]]
@@ -167,20 +242,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``edits`` those of its window first verified, ``text_hash`` is xxhash64 of the text.
 
     The q-gram index of the benchmark is broadcast up to INDEX_LETTERS letters; beyond that the benchmark is gone
-    through in parts, one pass over the documents each. Null ids of documents are carried; null or empty texts and
-    items, and items of fewer than 8 letters, match nothing. Repeated items of one id are all searched and reported
-    once, as are repeated documents of one id and text. Empty tables give no rows. Other columns are not read.
+    through in parts, one pass over the documents each, and the driver holds one part at a time. Null ids of
+    documents are carried; null or empty texts and items, and items of fewer than 8 letters, match nothing. Very long
+    texts are searched whole; repeated stretches of a text or an item count once, and pairs of places are held a
+    million at a time, so that texts of one letter or line over and over take no more memory than others. Repeated
+    items of one id are all searched and reported once, as are repeated documents of one id and text. Ties between
+    items don't matter, as each is reported. Empty tables give no rows. Other columns are not read.
     """
     require(docs, id_col, text_col)
     require(benchmark, item_col, item_text)
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
-    parts, size = [[]], 0
-    for i, t in items.toLocalIterator():
-        if size > INDEX_LETTERS:
-            parts, size = [*parts, []], 0
-        parts[-1].append((i, t))
-        size += len(t)
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).filter("text is not null")
 
     def search(sent):
@@ -200,18 +272,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    out = None
-    for part in parts:
-        numbered = [(-1 if i is None else i, t) for i, t in part]
-        sent = spark.sparkContext.broadcast(Index([i for i, _ in numbered], [t for _, t in numbered]))
-        found = pair.mapInArrow(search(sent), "doc_id long, item_id long, matched long, edits long, text_hash long")
+    def pass_of(part):
+        sent = spark.sparkContext.broadcast(Index([-1 if i is None else i for i, _ in part], [t for _, t in part]))
+        return pair.mapInArrow(search(sent), "doc_id long, item_id long, matched long, edits long, text_hash long")
+
+    out, part, size = None, [], 0
+    for i, t in items.toLocalIterator():
+        part.append((i, t))
+        size += len(t)
+        if size > INDEX_LETTERS:
+            found, part, size = pass_of(part), [], 0
+            out = found if out is None else out.unionByName(found)
+    if part or out is None:
+        found = pass_of(part)
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("doc_id", "item_id", "text_hash").agg(F.max("matched").alias("matched"), F.min("edits").alias("edits"))
     return best.select("doc_id", F.nullif("item_id", F.lit(-1)).alias("item_id"), "matched", "edits", "text_hash")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, with all their columns; null texts stay."""
-    found = materialise(contaminated(docs, benchmark, id_col, text_col).select(F.col("text_hash").alias("__hash"), F.col("doc_id").alias("__doc")).distinct(), "contaminated")
-    same = (F.xxhash64(docs[text_col].cast("string")) == found["__hash"]) & docs[id_col].cast("long").eqNullSafe(found["__doc"])
-    return docs.join(found, same, "left_anti")
+    """The rows of ``docs`` that hold no passage of the benchmark, with all their columns, whatever their names.
+
+    Null texts stay. Repeated rows go or stay together; an empty table gives an empty one.
+    """
+    found = materialise(contaminated(docs, benchmark, id_col, text_col).select("text_hash", "doc_id").distinct(), "contaminated")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = F.col(f"c{names.index(id_col)}").cast("long"), F.col(f"c{names.index(text_col)}").cast("string")
+    return plain.join(found, (F.xxhash64(text) == found["text_hash"]) & key.eqNullSafe(found["doc_id"]), "left_anti").toDF(*names)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from textloom.llm import arrays as A
 from textloom.runtime import materialise, require
 
-#: Kinds of protected entities, tried in this order at each place.
+_TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\b\.?"
+_STREET = r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Ct|Square|Way|Place)"
+#: Kinds of protected entities, tried in this order at each place; ``\\d`` is a digit of any script.
 ENTITIES = [
     ("SECRET", r"(?i:\b(?:token|secret|api[_-]?key|access[_-]?key|passw(?:or)?d|pwd)\b[\"']?\s*[=:]\s*)(?P<v1>\"[^\"\n]{6,}\"|'[^'\n]{6,}'|[^\s\"',;]{6,})"),
     ("SECRET", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{40}|[0-9a-f]{64})\b"),
@@ -23,13 +25,18 @@ ENTITIES = [
     ("CARD", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
     ("ID", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"),
     ("PHONE", r"(?<![\d.])\+\d(?:[ ().-]{0,2}\d){7,14}(?!\d)|(?<![\d.-])\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?![\d-])|(?<!\d)0\d{8,11}(?!\d)"),
+    ("ADDRESS", rf"(?<!\d)\d{{1,5}} (?:[A-Z][a-z]+ ){{1,3}}{_STREET}\b|\b[A-ZÄÖÜ][a-zäöüß-]*(?:straße|strasse|str\.|weg|platz|allee) \d{{1,4}}[a-z]?\b"),
+    ("PERSON", rf"\b{_TITLE} (?P<v9>[^\W\d_a-zß-öø-ÿ][\w'’-]*(?: [^\W\d_a-zß-öø-ÿ][\w'’-]+){{0,2}})"),
 ]
-#: Whatever may hold an entity; texts without a match are passed through untouched.
-SUSPECT = r"@|[0-9][0-9 ().+-]{5,}[0-9]|(?i:token|secret|key|passw|pwd)|[0-9a-f]{40}|AKIA|gh[pousr]_|sk-|[A-Z]{2}[0-9]{2}"
-#: Words on either side of an entity that are its context.
-CONTEXT = 12
+#: Whatever may hold an entity; texts without a match have none. For the JVM, where a digit of any script is \p{Nd}.
+SUSPECT = (
+    r"@|\p{Nd}[\p{Nd} ().+-]{5,}\p{Nd}|(?iu:token|secret|key|passw|pwd)|[0-9a-f]{40}|AKIA|gh[pousr]_|sk-|[A-Z]{2}[0-9]{2}"
+    r"|\p{Nd} [A-Z]|(?:straße|strasse|str\.|weg|platz|allee) \p{Nd}|" + _TITLE.replace(r"\b", "") + " "
+)
+#: The same for Python.
+_SUSPECT = re.compile(SUSPECT.replace(r"\p{Nd}", r"\d"))
 #: Texts that an entity and a term must share before the pair is weighed.
-MIN_SUPPORT = 2
+SUPPORT = 1
 #: A term discloses an entity when their pointwise mutual information reaches this share of the entity's information.
 DISCLOSURE = 0.8
 #: Candidate terms whose text counts are taken in one pass (9 bytes each at a worker).
@@ -40,7 +47,6 @@ _HELD = 2_000_000
 #: What a masked place looks like.
 _PLACE = re.compile(rb"\[(?:NAME|NUMBER|" + "|".join(sorted({k for k, _ in ENTITIES})).encode() + rb")\]")
 
-_WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 _ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(ENTITIES)))
 _TABLE_BITS = 22
 
@@ -50,7 +56,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     for m in _ANY.finditer(text):
         i = next(k for k in range(len(ENTITIES)) if m.group(f"k{k}") is not None)
-        a, b = m.span("v1") if i == 0 else m.span()
+        a, b = m.span("v1") if i == 0 else m.span("v9") if i == 9 else m.span()
         out.append((a, b, ENTITIES[i][0], text[a:b].strip("\"'").lower()))
     return out
 
@@ -63,110 +69,14 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return A.span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - size, ends)
 
 
-def contexts(text: str) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int]], list[bytes], list[tuple[int, int]]]:
-    """The entities; the words' byte spans and lower-case forms; for each entity the range of words around it."""
-    found = entities(text)
-    if not found:
-        return [], [], [], []
-    raw = text.encode()
-    at = [len(text[:a].encode()) for a, _, _, _ in found]
-    to = [x + len(text[a:b].encode()) for x, (a, b, _, _) in zip(at, found)]
-    spans, around, k = [], [], 0
-    for m in _WORD.finditer(raw):
-        a, b = m.span()
-        while k < len(at) and to[k] <= a:
-            k += 1
-        if k < len(at) and at[k] < b:
-            continue
-        spans.append((a, b))
-    starts = np.array([a for a, _ in spans], np.int64)
-    for x in at:
-        place = int(np.searchsorted(starts, x))
-        around.append((max(0, place - CONTEXT), min(len(spans), place + CONTEXT)))
-    lower = [raw[a:b].decode().lower().encode() for a, b in spans]
-    return [(x, y, kind, v) for x, y, (_, _, kind, v) in zip(at, to, found)], spans, lower, around
-
-
 def _entity_hash(kind: str, value: str) -> int:
     return int(hash_words([f"{kind}:{value}".encode()])[0])
 
 
-def _mask(text: str, reveals: set[tuple[int, int]]) -> tuple[str, int, int]:
-    """The sanitised text, and the numbers of entities and of terms."""
-    found, spans, lower, around = contexts(text)
-    raw = text.encode()
-    cuts = {(a, b): f"[{kind}]".encode() for a, b, kind, _ in found}
-    for (_, _, kind, value), (i, j) in zip(found, around):
-        if not reveals:
-            break
-        e = _entity_hash(kind, value)
-        for (a, b), h in zip(spans[i:j], hash_words(lower[i:j]).tolist()):
-            if (e, h) in reveals:
-                word = raw[a:b].decode()
-                cuts[a, b] = b"[NUMBER]" if word.isdigit() else b"[NAME]" if word[:1].isupper() else b""
-    out, last = [], 0
-    for (a, b), by in sorted(cuts.items()):
-        out.append(raw[last:a])
-        out.append(by)
-        last = b + (by == b"" and raw[b : b + 1] == b" ")
-    return b"".join([*out, raw[last:]]).decode(), len(found), len(cuts) - len({(a, b) for a, b, _, _ in found})
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def text_counts(texts: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """In how many texts each of the (sorted, hashed) terms occurs."""
-    spark = texts.sparkSession
-    out: dict[int, int] = {}
-    for at in range(0, len(terms), TERMS_AT_ONCE):
-        part = terms[at : at + TERMS_AT_ONCE]
-        table = np.zeros(1 << _TABLE_BITS, bool)
-        table[part >> np.uint64(64 - _TABLE_BITS)] = True
-        sent = spark.sparkContext.broadcast((part, table))
-
-        def run(batches, sent=sent):
-            part, table = sent.value
-            total = np.zeros(len(part), np.int64)
-            for batch in batches:
-                for s in A.slices(batch, "text"):
-                    data, offs = A.text_bytes(pc.utf8_lower(A.column(s, "text")))
-                    a, b, row = A.word_spans(data, offs)
-                    h = A.span_hashes(data, a, b)
-                    maybe = np.flatnonzero(table[h >> np.uint64(64 - _TABLE_BITS)])
-                    h, row = h[maybe], row[maybe]
-                    slot = np.searchsorted(part, h)
-                    slot[slot == len(part)] = 0
-                    ok = part[slot] == h
-                    pair = np.unique(row[ok] * len(part) + slot[ok])
-                    total += np.bincount(pair % len(part), minlength=len(part))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([_signed(part[some]), pa.array(total[some])], ["term", "n"])
-
-        counted = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        out.update(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist()))
-    return out
-
-
-def disclosures(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, n_both, n_term, n_entity, pmi, information) of the pairs that disclose.
-
-    ``pairs`` has (rid, entity, term) once a text. With N texts, pmi = log2(N n_both / (n_term n_entity)) and the
-    entity's information is log2(N / n_entity).
-    """
-    spark = texts.sparkSession
-    n = texts.count()
-    entity = pairs.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = materialise(pairs.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= MIN_SUPPORT), "pii-pairs")
-    terms = np.sort(both.select("term").distinct().toArrow().column("term").to_numpy().view(np.uint64))
-    counts = text_counts(texts, terms)
-    known = spark.createDataFrame(pa.table({"term": pa.array(list(counts.keys()), pa.int64()), "n_term": pa.array(list(counts.values()), pa.int64())}))
-    joined = both.join(entity, "entity").join(known, "term")
-    weighed = joined.withColumn("pmi", F.log2(F.lit(float(max(n, 1))) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))).withColumn("information", F.log2(F.lit(float(max(n, 1))) / F.col("n_entity")))
-    return weighed.filter((F.col("information") > 0) & (F.col("pmi") >= DISCLOSURE * F.col("information")))
-
-
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word in its row's bytes, the row, and the hash of the lower-case form.
 
@@ -266,9 +176,24 @@ def disclosing_terms(suspects: DataFrame, texts: DataFrame, support: int) -> Dat
     return weighed.filter((information > 0) & (pmi >= DISCLOSURE * information)).select("term").distinct()
 
 
-def _sanitise_whole(texts: DataFrame, kind: str, support: int) -> DataFrame:
-    """``sanitise`` with co-occurrence over whole texts, and disclosing terms taken out of all texts."""
-    suspect = re.compile(SUSPECT)
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT) -> DataFrame:
+    """(doc_id, text, n_entities, n_terms), one row for each row of ``docs``: what identifies people is taken out.
+
+    Addresses, numbers, secrets and titled names (ENTITIES) are masked by their kind. Every word of a text with
+    entities is weighed with each of them, if they share ``support`` texts; it discloses the entity when their
+    pointwise mutual information over all texts reaches 0.8 of the entity's information, that is when seeing the word
+    nearly gives the entity away. Disclosing words are taken out of all texts, also of those without any entity: they
+    become [NAME] (capital) or [NUMBER], or are removed.
+
+    Counts stay with the executors, added up by task before they are shuffled. Disclosing terms are sent to the
+    workers TERMS_AT_ONCE at a time, each part in a pass over the texts. Null texts stay null with null counts, empty
+    ones stay empty, very long ones are weighed and masked whole. Repeated rows are rows of their own, and count as
+    texts; ties don't matter, as every term is judged by itself. Null ids are carried; other columns are not read,
+    whatever their names. An empty table gives an empty one.
+    """
+    require(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     is_suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
     terms = materialise(disclosing_terms(texts.filter(is_suspect).select("text"), texts.select("text").filter("text is not null"), support), "pii-terms")
     parts = max(1, -(-terms.count() // TERMS_AT_ONCE))
@@ -297,7 +222,7 @@ def _sanitise_whole(texts: DataFrame, kind: str, support: int) -> DataFrame:
                         if text is None:
                             n_entities[i] = n_terms[i] = None
                             continue
-                        found = entities(text) if k == 0 and suspect.search(text) else []
+                        found = entities(text) if k == 0 and _SUSPECT.search(text) else []
                         if not found and first[i] == first[i + 1]:
                             continue
                         raw = text.encode()
@@ -321,60 +246,3 @@ def _sanitise_whole(texts: DataFrame, kind: str, support: int) -> DataFrame:
         if k + 1 < parts:
             out = materialise(out, "pii-masked")
     return out
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, support: int = MIN_SUPPORT) -> DataFrame:
-    """(doc_id, text, n_entities, n_terms), one row for each row of ``docs``: what identifies people is taken out.
-
-    Addresses, numbers and secrets (ENTITIES) are masked by their kind. A word within 12 words of an entity, shared
-    with it by at least two texts, is a candidate; it discloses the entity when their pointwise mutual information
-    over all texts reaches 0.8 of the entity's information, that is when seeing the word nearly gives the entity
-    away. Such words become [NAME] (capital) or [NUMBER], or are removed.
-
-    ``whole`` weighs all words of a text with its entities, however far off, and takes disclosing words out of all
-    texts, also of those without any entity; with ``support`` 1, also those that share a single text with the entity,
-    by the same measure. Terms are sent to the workers TERMS_AT_ONCE at a time.
-
-    Texts that can't hold an entity pass through one filter and projection; the others are written apart, and only
-    these are joined. Text counts of the candidates are taken in one pass over all texts (several, if there are more
-    than TERMS_AT_ONCE). Null texts stay null with null counts, empty ones stay empty. Repeated rows are rows of
-    their own, and count as texts. Null ids are carried; other columns are not read. An empty table gives an empty one.
-    """
-    require(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if whole:
-        return _sanitise_whole(texts, kind, support)
-    suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
-    zero = F.when(F.col("text").isNotNull(), F.lit(0).cast("long"))
-    clean = texts.filter(~suspect).select("doc_id", "text", zero.alias("n_entities"), zero.alias("n_terms"))
-    apart = materialise(texts.filter(suspect).withColumn("rid", F.monotonically_increasing_id()), "pii-suspect")
-
-    def extract(batches):
-        for batch in batches:
-            out: list[tuple[int, int, int | None]] = []
-            for rid, text in zip(A.column(batch, "rid").to_pylist(), A.column(batch, "text").to_pylist()):
-                found, _, lower, around = contexts(text)
-                seen = set()
-                for (_, _, k, v), (i, j) in zip(found, around):
-                    e = _entity_hash(k, v)
-                    seen.add((e, None))
-                    seen.update((e, h) for h in hash_words(lower[i:j]).tolist())
-                out.extend((rid, e, h) for e, h in seen)
-            signed = lambda x: None if x is None else x - (1 << 64) if x >> 63 else x
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([signed(x[1]) for x in out], pa.int64()), pa.array([signed(x[2]) for x in out], pa.int64())], ["rid", "entity", "term"])
-
-    pairs = materialise(apart.select("rid", "text").mapInArrow(extract, "rid long, entity long, term long"), "pii-contexts")
-    leaks = disclosures(pairs, texts.select("text").filter("text is not null")).select("entity", "term")
-    lists = pairs.join(leaks, ["entity", "term"]).groupBy("rid").agg(F.collect_list("entity").alias("es"), F.collect_list("term").alias("ts"))
-
-    def mask(batches):
-        for batch in batches:
-            rows = [
-                _mask(t, {(a % (1 << 64), b % (1 << 64)) for a, b in zip(es or (), ts or ())})
-                for t, es, ts in zip(A.column(batch, "text").to_pylist(), A.column(batch, "es").to_pylist(), A.column(batch, "ts").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([A.column(batch, "doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "text", "n_entities", "n_terms"])
-
-    masked = apart.join(lists, "rid", "left").select("doc_id", "text", "es", "ts").mapInArrow(mask, f"doc_id {kind}, text string, n_entities long, n_terms long")
-    return clean.unionByName(masked)

@@ -19,8 +19,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; copies that line dedup emptied are a group too."""
-    return simhash.drop_near_duplicates(docs, wordless=True)
+    """One document of each near-duplicate group stays.
+
+    Documents are near-duplicates by their texts as they are, or as they were in ``documents`` before lines were cut
+    out of them; so copies that differ in some lines are found though only these lines are left of them. Equal texts
+    without words, such as copies that line dedup emptied, are a group too.
+    """
+    return simhash.drop_near_duplicates(docs, wordless=True, originals=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

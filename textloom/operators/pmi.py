@@ -60,7 +60,7 @@ def related_keywords(corpus: Corpus, keyword: str, n: int = 25, ignore_case: boo
     """The terms that tell texts with the keyword from the others, the keyword among them."""
     pattern = ("(?i)" if ignore_case else "") + r"(?<![\p{L}\p{N}_])\Q" + keyword + r"\E(?![\p{L}\p{N}_])"
     marked = Corpus(corpus.df.withColumn("__has", F.col(corpus.text_col).rlike(pattern).cast("int")), corpus.id_col, corpus.text_col, corpus.options)
-    marked._postings, marked._n = corpus.postings, corpus.n
+    marked._rows, marked._n = corpus.rows, corpus.n
     found = corpus_mutual_info(marked, "__has").filter(F.round("MI1", 9) > 0)
     return found.orderBy(F.desc(F.round("MI1", 9)), "term").limit(n)
 

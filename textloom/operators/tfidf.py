@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.runtime import materialise, partitions, require
+from textloom.operators.components import connected_components
+from textloom.runtime import materialise, require
 
 
 @dataclass(frozen=True)
@@ -35,51 +39,113 @@ def terms_of(text: Column, o: Options) -> Column:
     return tx.ngrams(words, *o.ngram_range)
 
 
-def counts(df: DataFrame, id_col: str, text_col: str, o: Options) -> DataFrame:
-    """(doc_id, term, tf); texts that are null are left out.
+#: Terms of a vocabulary that are sent to every worker (some 30 bytes each); a larger one is joined instead.
+BROADCAST_TERMS = 1_000_000
+
+
+def term_lists(df: DataFrame, id_col: str, text_col: str, o: Options) -> DataFrame:
+    """(doc_id, terms, tf): one row for each text that isn't null, with its different terms and how often each occurs.
 
-    The texts are shuffled by id before they are cut up, which is less than their postings; grouping by id and term
-    needs no further shuffle then.
+    Terms are counted within the row, a batch of texts at a time; nothing is shuffled. Ids are taken to be unique.
     """
-    texts = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.repartition(partitions(df.sparkSession), "doc_id")
-    terms = texts.select("doc_id", F.explode(terms_of(F.col("text"), o)).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col), o).alias("words"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            coded = pc.dictionary_encode(lists.flatten())
+            width = max(1, len(coded.dictionary))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            key, n = np.unique(row * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            ends = np.searchsorted(key // width, np.arange(batch.num_rows + 1)).astype(np.int32)
+            terms = coded.dictionary.take(pa.array(key % width)) if len(key) else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(n))], ["doc_id", "terms", "tf"])
+
+    return rows.mapInArrow(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, terms array<string>, tf array<bigint>")
+
+
+def counts(df: DataFrame, id_col: str, text_col: str, o: Options) -> DataFrame:
+    """(doc_id, term, tf); texts that are null are left out."""
+    return term_lists(df, id_col, text_col, o).selectExpr("doc_id", "inline(arrays_zip(terms, tf)) as (term, tf)")
 
 
 def _limit(x: int | float, n: int) -> float:
     return x * n if isinstance(x, float) else x
 
 
-def vocabulary(tf: DataFrame, n: int, o: Options) -> DataFrame:
-    """(term, df, idf)."""
-    smooth = 1 if o.smooth_idf else 0
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    df = df.filter((F.col("df") >= _limit(o.min_df, n)) & (F.col("df") <= _limit(o.max_df, n)))
-    idf = F.log(F.lit(float(n + smooth)) / (F.col("df") + smooth)) + 1 if o.use_idf else F.lit(1.0)
-    return df.withColumn("idf", idf)
+def vocabulary(lists: DataFrame, n: int, o: Options) -> DataFrame:
+    """(term, df) of the terms within the limits."""
+    df = lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.filter((F.col("df") >= _limit(o.min_df, n)) & (F.col("df") <= _limit(o.max_df, n)))
+
 
+def weigh(lists: DataFrame, vocab: DataFrame, n: int, o: Options) -> DataFrame:
+    """(doc_id, terms, tf, df, weight): the lists cut to the (written) vocabulary, in the order of term hashes, and weighed.
 
-def weigh(tf: DataFrame, vocab: DataFrame, o: Options) -> DataFrame:
+    A vocabulary of up to BROADCAST_TERMS terms goes to the workers, and texts stay where they are. A larger one is
+    joined by term, and the terms of a text are brought together again.
+    """
+    smooth = 1 if o.smooth_idf else 0
+    idf = F.log(F.lit(float(n + smooth)) / (F.col("df") + smooth)) + 1 if o.use_idf else F.lit(1.0)
+    kind = lists.schema["doc_id"].dataType.simpleString()
+
+    def out(ids, row, size, terms, tf, df, idf):
+        count = np.ones(len(tf)) if o.binary else tf.astype(float)
+        count = np.log(count) + 1 if o.sublinear_tf else count
+        w = count * idf
+        if o.norm and len(w):
+            total = np.bincount(row, w * w if o.norm == "l2" else np.abs(w), size)
+            w = w / (np.sqrt(total) if o.norm == "l2" else total)[row]
+        ends = np.searchsorted(row, np.arange(size + 1)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([ids, *(pa.ListArray.from_arrays(ends, x) for x in (terms, pa.array(tf), pa.array(df), pa.array(w)))], ["doc_id", "terms", "tf", "df", "weight"])
+
+    schema = f"doc_id {kind}, terms array<string>, tf array<bigint>, df array<bigint>, weight array<double>"
+    known = vocab.withColumn("idf", idf)
+    if vocab.count() <= BROADCAST_TERMS:
+        table = known.orderBy("term").toArrow().combine_chunks()
+        sent = lists.sparkSession.sparkContext.broadcast([table.column(c).combine_chunks() if table.num_rows else pa.array([], t) for c, t in (("term", pa.string()), ("df", pa.int64()), ("idf", pa.float64()))])
+
+        def run(batches):
+            names, df, idf = sent.value
+            df, idf = df.to_numpy(), idf.to_numpy()
+            for batch in batches:
+                lists = batch.column(1)
+                flat = lists.flatten()
+                slot = pc.index_in(flat, value_set=names)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                ok = np.flatnonzero(np.asarray(slot.is_valid()))
+                at = pc.fill_null(slot, 0).to_numpy()[ok]
+                tf = batch.column(2).flatten().to_numpy()[ok]
+                yield out(batch.column(0), row[ok], batch.num_rows, flat.take(pa.array(ok)), tf, df[at], idf[at])
+
+        return lists.mapInArrow(run, schema)
+
+    flat = lists.selectExpr("doc_id", "inline(arrays_zip(terms, tf)) as (term, tf)").join(known, "term")
+    again = flat.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "df", "idf"))).alias("v"))
+    again = again.select("doc_id", *[F.transform("v", lambda x, c=c: x[c]).alias(c) for c in ("term", "tf", "df", "idf")])
+
+    def after(batches):
+        for batch in batches:
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            terms, *rest = (batch.column(i).flatten() for i in range(1, 5))
+            yield out(batch.column(0), row, batch.num_rows, terms, *(x.to_numpy() for x in rest))
+
+    return again.mapInArrow(after, schema)
+
+
+def flat(rows: DataFrame) -> DataFrame:
     """(doc_id, term, tf, df, weight)."""
-    count = F.lit(1.0) if o.binary else F.col("tf").cast("double")
-    count = F.log(count) + 1 if o.sublinear_tf else count
-    w = tf.join(vocab, "term").withColumn("weight", count * F.col("idf"))
-    over = Window.partitionBy("doc_id")
-    if o.norm == "l2":
-        w = w.withColumn("weight", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(over)))
-    elif o.norm == "l1":
-        w = w.withColumn("weight", F.col("weight") / F.sum(F.abs("weight")).over(over))
-    return w.select("doc_id", "term", "tf", "df", "weight")
+    return rows.selectExpr("doc_id", "inline(arrays_zip(terms, tf, df, weight)) as (term, tf, df, weight)")
 
 
 class Corpus:
-    """A table with its id and text columns; its postings are written once, in the shared folder, and reused."""
+    """A table with its (unique) id and text columns; its term lists and weights are written once, in the shared folder."""
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None):
         require(df, id_col, text_col)
         self.df, self.id_col, self.text_col, self.options = df, id_col, text_col, options or Options()
-        self._postings: DataFrame | None = None
+        self._rows: DataFrame | None = None
+        self._vocab: DataFrame | None = None
         self._n: int | None = None
 
     @property
@@ -89,27 +155,38 @@ class Corpus:
             self._n = self.df.filter(F.col(self.text_col).isNotNull()).count()
         return self._n
 
+    def _weighed(self) -> DataFrame:
+        """(doc_id, terms, tf, df, weight), one row a text, lazily but for the vocabulary."""
+        lists = materialise(term_lists(self.df, self.id_col, self.text_col, self.options), "terms")
+        self._n = lists.count()
+        self._vocab = materialise(vocabulary(lists, self._n, self.options), "vocabulary")
+        return weigh(lists, self._vocab, self._n, self.options)
+
+    @property
+    def rows(self) -> DataFrame:
+        """(doc_id, terms, tf, df, weight), one row a text, written."""
+        if self._rows is None:
+            self._rows = materialise(self._weighed(), "weights")
+        return self._rows
+
     def plan(self) -> DataFrame:
-        """The postings (doc_id, term, tf, df, weight), lazily."""
-        tf = counts(self.df, self.id_col, self.text_col, self.options)
-        return weigh(tf, vocabulary(tf, self.n, self.options), self.options)
+        """(doc_id, term, tf, df, weight), the postings, not written."""
+        return flat(self._weighed())
 
     @property
     def postings(self) -> DataFrame:
-        if self._postings is None:
-            self._postings = materialise(self.plan(), "postings")
-        return self._postings
+        """``plan``, written."""
+        return flat(self.rows)
 
     @property
     def vocab(self) -> DataFrame:
-        o = self.options
-        smooth = 1 if o.smooth_idf else 0
-        idf = F.log(F.lit(float(self.n + smooth)) / (F.col("df") + smooth)) + 1 if o.use_idf else F.lit(1.0)
-        return self.postings.groupBy("term").agg(F.first("df").alias("df")).withColumn("idf", idf)
+        """(term, df)."""
+        self.rows  # noqa: B018
+        return self._vocab
 
     def transform(self, other: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """Postings of other texts over this corpus's vocabulary."""
-        return weigh(counts(other, id_col, text_col, self.options), self.vocab, self.options)
+        return flat(weigh(term_lists(other, id_col, text_col, self.options), self.vocab, self.n, self.options))
 
 
 def search(corpus: Corpus, text: str) -> DataFrame:
@@ -138,8 +215,9 @@ def match_list(corpus: Corpus, candidates: DataFrame, id_col: str, text_col: str
 
     ``allow_multiple``: each text takes its best candidate, the first of the list among equals. Otherwise every
     candidate goes to the texts of one content only: texts are gone through in order, a later text takes a candidate
-    over if it is at least as similar, and the one that loses it gets no other. That scan depends on its order, so it
-    is one group; only the pairs above the threshold are in it.
+    over if it is at least as similar, and the one that loses it gets no other. That scan depends on its order, but
+    only among contents and candidates that are connected by pairs above the threshold; each such group is a scan of
+    its own. Equal contents are scanned once, as the first of their texts.
     """
     scores = match_scores(corpus, candidates, id_col, text_col, min_similarity)
     best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("similarity", 9)), "cand_id")
@@ -148,16 +226,17 @@ def match_list(corpus: Corpus, candidates: DataFrame, id_col: str, text_col: str
     if allow_multiple:
         top = scores.withColumn("k", F.row_number().over(best)).filter("k = 1").select("doc_id", F.col("cand_id").alias("match_id"), "similarity")
     else:
-        hashed = scores.join(docs.select("doc_id", F.xxhash64("doc_text").alias("h")), "doc_id").select("doc_id", "h", "cand_id", "similarity", F.lit(0).alias("g"))
+        contents = docs.select("doc_id", F.xxhash64("doc_text").alias("h"))
+        first = contents.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+        pairs = materialise(scores.join(first, "doc_id").select("h", "doc_id", F.col("cand_id"), "similarity", F.xxhash64(F.lit("candidate"), "cand_id").alias("c")), "matches")
+        part = connected_components(pairs.select("h", "c"), "h", "c").withColumnRenamed("node", "h")
+        grouped = pairs.join(part, "h")
 
         def scan(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.assign(r=pdf["similarity"].round(9)).sort_values(["doc_id", "r", "cand_id"], ascending=[True, False, True])
             owner: dict = {}
             taken: dict = {}
-            for doc, rows in pdf.groupby("doc_id", sort=True):
-                h = rows["h"].iloc[0]
-                if h in taken:  # texts of one content are matched together
-                    continue
+            for h, rows in pdf.groupby("h", sort=False):
                 for r in rows.itertuples():
                     if r.cand_id not in owner or r.r >= owner[r.cand_id][1]:
                         if r.cand_id in owner:
@@ -165,10 +244,10 @@ def match_list(corpus: Corpus, candidates: DataFrame, id_col: str, text_col: str
                         owner[r.cand_id] = (h, r.r)
                         taken[h] = (r.cand_id, r.similarity)
                         break
-            out = [(d, *taken[h]) for d, h in pdf[["doc_id", "h"]].drop_duplicates().itertuples(index=False) if h in taken]
-            return pd.DataFrame(out, columns=["doc_id", "match_id", "similarity"])
+            return pd.DataFrame([(h, *x) for h, x in taken.items()], columns=["h", "match_id", "similarity"])
 
-        kind, cand = corpus.df.schema[corpus.id_col].dataType.simpleString(), candidates.schema[id_col].dataType.simpleString()
-        top = hashed.groupBy("g").applyInPandas(scan, f"doc_id {kind}, match_id {cand}, similarity double")
+        cand = candidates.schema[id_col].dataType.simpleString()
+        found = grouped.groupBy("component").applyInPandas(scan, f"h long, match_id {cand}, similarity double")
+        top = contents.join(found, "h").select("doc_id", "match_id", "similarity")
     out = docs.select("doc_id").join(top, "doc_id", "left").join(named, "match_id", "left")
     return out.select("doc_id", "match_id", "match_text", "similarity")

@@ -495,7 +495,7 @@ def pca_embeddings(spark, sf_dir):
 @query()
 def lsa_topdocs(spark, sf_dir):
     c = corpus(spark, sf_dir, stop_words=STOP, min_df=0.02, max_df=0.5)
-    scores = decomposition.lsa(clustering.sparse_features(c.postings), k=5).scores
+    scores = decomposition.lsa(clustering.text_features(c), k=5).scores
     return decomposition.top_documents(scores, "lsa", 5)
 
 

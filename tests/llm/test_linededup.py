@@ -7,6 +7,7 @@ from textloom.llm import arrays as A
 from textloom.llm import linededup
 
 import numpy as np
+from pyspark.sql import functions as F
 
 
 def split(text):
@@ -185,3 +186,29 @@ def test_whole_odd_rows(spark, extra):
     out = linededup.dedup_lines(docs, whole=True)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert linededup.dedup_lines(common.empty_docs(spark), whole=True).count() == 0
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_held_pieces_change_nothing_and_names_may_clash(spark, whole):
+    rng = random.Random(11)
+    pool = [f"{common.sentence(k, 9)}." for k in range(30)]
+    docs = [(i if i % 9 else None, " ".join(rng.sample(pool, 3) + pool[(at := rng.randrange(20)) : at + 7])) for i in range(60)]
+    df = spark.createDataFrame(docs + docs[:5], "doc_id long, text string").repartition(5)
+    want = common.rows(linededup.dedup_lines(df, whole=whole))
+    kept, linededup.HELD = linededup.HELD, 3
+    try:
+        assert common.rows(linededup.dedup_lines(df, whole=whole)) == want
+    finally:
+        linededup.HELD = kept
+    more = ("__cuts", "__id", "__hash", "id", "hash", "cuts", "c0", "start", "text_hash")
+    out = linededup.dedup_lines(df.withColumns({x: F.lit(7) for x in more}), whole=whole)
+    assert out.columns == ["doc_id", "text", *more]
+    assert common.rows(out.select("doc_id", "text")) == want and {tuple(r)[2:] for r in out.collect()} == {(7,) * len(more)}
+
+
+def test_one_line_over_and_over(spark):
+    """Two texts that share a line fifty times keep one such run."""
+    line = "the same line of text again and again."
+    rows = [(1, "\n".join([line] * 50)), (2, "own words first.\n" + "\n".join([line] * 50)), (3, line)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert len(got[1]) < 3 * len(line) and got[2] == "own words first.\n" and got[3] == line

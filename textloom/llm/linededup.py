@@ -16,6 +16,8 @@ DIVISOR = 2
 MIN_LINES, MIN_BYTES = 2, 60
 #: A single line repeats by itself when it has more words than this.
 LINE_WORDS = 50
+#: Pieces that a task holds, with their bytes, to find those that it has itself at an earlier place.
+HELD = 200_000
 #: Size of the bitmap of repeated hashes.
 BITMAP_BITS = 27
 
@@ -162,70 +164,89 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs; runs that touch are cut, and reported, as one.
 
     Three passes. The first counts the hashes of chunks, without texts. Those seen twice go into a bitmap of fixed
-    size (16 MB); should it fill up, more chunks than need be take part in the second pass, which shuffles the bytes
-    of the chunks that may repeat, by hash, and compares them byte by byte. The third joins what is to be cut to the
-    texts, which are shuffled once. A chunk of millions of copies is sorted within its partition, on disk if need be.
+    size (16 MB); should it fill up, more chunks than need be take part in the second pass. There each task compares
+    the chunks that may repeat with those it has seen, byte by byte; what it has at an earlier place itself goes, and
+    only the first of equal chunks is shuffled, by hash, with its bytes, to be compared with those of other tasks. So
+    of a chunk of any number of copies no task gets more than each task's first. The third pass joins what is to be
+    cut to the texts, which are shuffled once.
 
     First is the smallest (doc_id, text hash, place), null ids first. A chunk that repeats within one document goes
     as well. White space after a removed chunk goes with it; text that is kept is kept to the byte. Null texts stay
-    null, empty ones empty; a text of nothing but repeated chunks becomes empty, and its row stays. Rows that repeat
-    both id and text are one document and are cut alike. All columns are kept under their names (``chars_col``, if
-    there is one of that name, becomes the new length), so clashing names can't arise. An empty table gives an empty
-    one. ``report`` gives (doc_id, text, removed_chunks, removed_bytes) instead.
+    null, empty ones empty; very long ones are cut like others; a text of nothing but repeated chunks becomes empty,
+    and its row stays. Rows that repeat both id and text are one document and are cut alike, so ties don't arise. All
+    columns are kept under their names (``chars_col``, if there is one of that name, becomes the new length), whatever
+    these are: the operator's own columns are added to numbered ones. An empty table gives an empty one. ``report``
+    gives (doc_id, text, removed_chunks, removed_bytes) instead.
     """
     require(docs, id_col, text_col)
-    text, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
-    texts = docs.select(key.alias("id"), text.alias("text")).filter("text is not null")
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, key = F.col(f"c{names.index(text_col)}").cast("string"), F.col(f"c{names.index(id_col)}").cast("long")
+    texts = numbered.select(key.alias("id"), text.alias("text")).filter("text is not null")
     pieces = _runs if whole else _chunks
     sent = docs.sparkSession.sparkContext.broadcast(repeated_bits(texts.select("text"), pieces))
 
     def pick(batches):
+        held: dict[int, tuple] = {}
+
+        def rows(out):
+            id_, text_hash, start, stop, hash_, body = zip(*out) if out else ((),) * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((id_, text_hash, hash_, start, stop, body), kinds)], ["id", "text_hash", "hash", "start", "stop", "body"])
+
         for batch in batches:
             for s in A.slices(batch, "text"):
                 row, h, a, after, offs, bodies = pieces(A.column(s, "text"))
                 slot = h >> np.uint64(64 - BITMAP_BITS)
                 ok = np.flatnonzero((sent.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
                 a, row, h, after = a[ok], row[ok], h[ok], after[ok]
+                ids, text_hashes = A.column(s, "id").to_pylist(), A.column(s, "text_hash").to_pylist()
                 at = offs[row]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [A.column(s, "id").take(take), A.column(s, "text_hash").take(take), pa.array(h.view(np.int64)), pa.array((a - at).astype(np.int32)), pa.array((after - at).astype(np.int32)), pa.array(bodies(ok), pa.binary())],
-                    ["id", "text_hash", "hash", "start", "stop", "body"],
-                )
+                out = []
+                for r, k, begin, end, body in zip(row.tolist(), h.view(np.int64).tolist(), (a - at).tolist(), (after - at).tolist(), bodies(ok)):
+                    i = ids[r]
+                    now = ((i is not None, i or 0, text_hashes[r], begin), (i, text_hashes[r], begin, end, k, body))
+                    other = held.get(k)
+                    if other is None:
+                        held[k] = now
+                    elif other[1][5] != body:
+                        out.append(now[1])
+                    elif now[0] != other[0]:
+                        if now[0] < other[0]:
+                            held[k], now = now, other
+                        out.append((*now[1][:5], None))
+                if len(held) > HELD:
+                    out += [x for _, x in held.values()]
+                    held = {}
+                yield rows(out)
+        yield rows([x for _, x in held.values()])
 
     picked = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(pick, "id long, text_hash long, hash long, start int, stop int, body binary")
+    # what goes already has no bytes, and is spread over the partitions
+    picked = picked.withColumn("hash", F.when(F.col("body").isNull(), F.xxhash64("id", "text_hash", "start")).otherwise(F.col("hash")))
     same = Window.partitionBy("hash", "body").orderBy("id", "text_hash", "start")
-    gone = picked.repartition("hash").withColumn("copy", F.dense_rank().over(same)).filter("copy > 1")
+    gone = picked.repartition("hash").withColumn("copy", F.dense_rank().over(same)).filter("copy > 1 or body is null")
     if whole:
         order = Window.partitionBy("id", "text_hash").orderBy("start", "stop")
         reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
         apart = gone.select("id", "text_hash", "start", "stop").withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
         apart = apart.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         gone = apart.groupBy("id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    cuts = gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__cuts"))
-    cuts = cuts.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__cuts")
-    on = key.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    joined = docs.join(cuts, on, "left")
+    cuts = gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("cuts"))
+    joined = numbered.join(cuts, key.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("text_hash")), "left")
     raw = text.cast("binary")
 
     def between(_, i):
         """Bytes from the end of cut i - 1 to the start of cut i."""
-        begin = F.when(i == 0, F.lit(0)).otherwise(F.col("__cuts")[i - 1]["stop"])
-        end = F.when(i == F.size("__cuts"), F.octet_length(raw)).otherwise(F.try_element_at(F.col("__cuts"), i + 1)["start"])
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.col("cuts")[i - 1]["stop"])
+        end = F.when(i == F.size("cuts"), F.octet_length(raw)).otherwise(F.try_element_at(F.col("cuts"), i + 1)["start"])
         return F.substring(raw, begin + 1, end - begin).cast("string")
 
-    kept = F.array_join(F.transform(F.array_append(F.transform("__cuts", lambda c: c["start"]), F.lit(0)), lambda x, i: between(x, i)), "")
-    left = F.when(F.col("__cuts").isNull(), text).otherwise(kept)
+    kept = F.array_join(F.transform(F.array_append(F.transform("cuts", lambda c: c["start"]), F.lit(0)), lambda x, i: between(x, i)), "")
+    left = F.when(F.col("cuts").isNull(), text).otherwise(kept)
     if report:
-        lost = F.aggregate(F.coalesce("__cuts", F.array().cast("array<struct<start:int,stop:int>>")), F.lit(0).cast("long"), lambda a, c: a + c["stop"] - c["start"])
-        count = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size("__cuts")).cast("long")
-        return joined.select(docs[id_col].alias("doc_id"), left.alias("text"), count.alias("removed_chunks"), lost.alias("removed_bytes"))
-    out = []
-    for c in docs.columns:
-        if c == text_col:
-            out.append(left.alias(c))
-        elif c == chars_col:
-            out.append(F.length(left).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(docs[f"`{c}`"])
-    return joined.select(*out)
+        lost = F.aggregate(F.coalesce("cuts", F.array().cast("array<struct<start:int,stop:int>>")), F.lit(0).cast("long"), lambda a, c: a + c["stop"] - c["start"])
+        count = F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long")
+        return joined.select(F.col(f"c{names.index(id_col)}").alias("doc_id"), left.alias("text"), count.alias("removed_chunks"), lost.alias("removed_bytes"))
+    chars = F.length(left).cast(docs.schema[chars_col].dataType) if chars_col in names else None
+    return joined.select(*[(left if c == text_col else chars if c == chars_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])

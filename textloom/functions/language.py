@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import ngrams, tokens
+
 _V = "aeiouy"
 
 
@@ -155,6 +157,44 @@ def filter_parts_of_speech(text: Column | str, filter_pos: list[str] | None = No
     return run(text)
 
 
+def tagged_words(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, position, word, tag, lemma) of all words, from a lexicon of (word, tag, lemma).
+
+    Words are looked up in lower case; one that the lexicon lacks has a null tag and is its own lemma. A join on the
+    word: Spark sends a small lexicon to the workers and shuffles by a large one. A word that the lexicon has more
+    than once takes its smallest tag, with that row's lemma.
+    """
+    first = lexicon.groupBy(F.lower("word").alias("w")).agg(F.min(F.struct("tag", "lemma")).alias("e"))
+    words = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(tokens(text_col, False)).alias("position", "word"))
+    return words.join(first, F.lower("word") == F.col("w"), "left").select("doc_id", "position", "word", F.col("e.tag").alias("tag"), F.coalesce("e.lemma", F.lower("word")).alias("lemma"))
+
+
+def _in_order(words: DataFrame, column: str) -> DataFrame:
+    lists = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col(column).alias("x")))).alias("v"))
+    return lists.select("doc_id", F.array_join(F.transform("v", lambda p: p["x"]), " ").alias("text"))
+
+
+def filter_tags(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, filter_pos: list[str] | None = None, exclude: bool = False) -> DataFrame:
+    """(doc_id, text): the words with these tags of the lexicon (or without them), in order; texts left with none are not listed."""
+    hit = F.coalesce(F.col("tag").isin(filter_pos or ["NN", "NNP", "JJ"]), F.lit(False))
+    return _in_order(tagged_words(df, id_col, text_col, lexicon).filter(~hit if exclude else hit), "word")
+
+
+def lemmatise(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, text): every word by its lemma, in order."""
+    return _in_order(tagged_words(df, id_col, text_col, lexicon), "lemma")
+
+
+def entities_by_table(df: DataFrame, id_col: str, text_col: str, names: DataFrame, longest: int = 3) -> DataFrame:
+    """(doc_id, kind, name) of the names of a table (name, kind) that stand in the texts, of up to ``longest`` words.
+
+    Runs of words are looked up as they are written, by a join on the name; each name counts once a text.
+    """
+    words = tokens(text_col, False)
+    runs = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(ngrams(words, 1, longest))).alias("name"))
+    return runs.join(names.select("name", "kind").distinct(), "name").select("doc_id", "kind", "name")
+
+
 ENTITY_LABELS = dict(ORG="ORGANIZATION", PER="PERSON", LOC="LOCATION", FAC="FACILITY", VEH="VEHICLE", WEA="WEAPON", GSP="GPE")
 _TITLES = {"mr", "mrs", "ms", "dr", "president", "senator", "judge", "general", "prof"}
 _ORG = {"inc", "corp", "company", "university", "committee", "congress", "senate", "department", "party", "court", "union", "bank"}

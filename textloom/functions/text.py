@@ -93,10 +93,11 @@ def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
     """All runs of ``low`` to ``high`` words, joined by a space."""
 
     def runs(n: int) -> Column:
+        # words are no part of a lambda, which would work them out again for every run
         if n == 1:
             return words
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        longer = F.zip_with(runs(n - 1), F.slice(words, F.lit(n), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.slice(longer, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
     parts = [runs(n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)

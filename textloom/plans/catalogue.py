@@ -6,15 +6,13 @@ from pyspark.sql import functions as F
 
 from textloom.functions import dates, fuzzy, language
 from textloom.functions import text as tx
-from textloom.operators import clustering, cooccurrence, decomposition, irr, pmi, sampling, similarity, tfidf, topics
+from textloom.operators import clustering, cooccurrence, decomposition, fragments, irr, pmi, sampling, similarity, tfidf, topics
 from textloom.runtime import materialise, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 STOP = tuple(tx.stopwords())
-#: Rows of a list of fragments that are sent to every worker; a longer one is cross-joined by shuffle.
-BROADCAST_FRAGMENTS = 10_000
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -51,10 +49,10 @@ def tok(source: str = "documents", key: str = "doc_id", stop: bool = False, bigr
     return f"{name} as (select {key} as doc_id, unnest({w}) as term from {source} where text is not null)"
 
 
-def weights(min_df: str = "df >= 1", **options) -> str:
-    return f"""{tok(**options)},
+def weights(min_df: str = "df >= 1", source: str = "documents", **options) -> str:
+    return f"""{tok(source, **options)},
 tf as (select doc_id, term, count(*) as tf from tok group by all),
-n as (select count(*) as n from documents where text is not null),
+n as (select count(*) as n from {source} where text is not null),
 voc as (select term, count(*) as df from tf group by term having {min_df}),
 raw as (select doc_id, tf.term, tf, df, tf * (ln((n + 1.0) / (df + 1)) + 1) as w0 from tf join voc on tf.term = voc.term, n),
 post as (select doc_id, term, tf, df, w0 / sqrt(sum(w0 * w0) over (partition by doc_id)) as weight from raw)"""
@@ -73,10 +71,15 @@ raw_{name} as (select doc_id, t.term, tf * (ln((n + 1.0) / (df + 1)) + 1) as w0
 
 @query("select doc_id, item_id from documents d, benchmark b where contains(strip_accents(d.text), strip_accents(b.text))")
 def has_fragment_benchmark(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.fold("text").alias("t"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", tx.fold("text").alias("f"))
-    items = F.broadcast(items) if items.count() <= BROADCAST_FRAGMENTS else items
-    return docs.join(items, F.contains("t", F.col("f"))).select("doc_id", "item_id")
+    return fragments.texts_with_fragments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("fragment_id", "item_id")
+
+
+@query("select a.item_id as a, b.item_id as b, contains(strip_accents(a.text), strip_accents(left(b.text, 12))) as has from benchmark a join benchmark b on true")
+def has_fragment_pairs(spark, sf_dir):
+    """The column expression, for every item and the beginning of every other."""
+    t = table(spark, sf_dir, "benchmark")
+    a, b = t.select(F.col("item_id").alias("a"), F.col("text").alias("x")), t.select(F.col("item_id").alias("b"), F.substring("text", 1, 12).alias("y"))
+    return a.join(F.broadcast(b)).select("a", "b", tx.has_fragment("x", "y").alias("has"))
 
 
 @query("select doc_id, case when replace(a, ' der ', '') = '' then a else replace(a, ' der ', '') end as text from (select doc_id, case when replace(text, ' the ', '') = '' then text else replace(text, ' the ', '') end as a from documents)")
@@ -87,9 +90,27 @@ def remove_fragments_basic(spark, sf_dir):
 _CLEAN = """select {key}, array_to_string(list_filter(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 3 and w not in {stop} and not regexp_matches(w, '[0-9]')), ' ') as clean from {table}"""
 
 
-@query(_CLEAN.format(key="doc_id", stop=_STOP_SQL, table="documents"))
+_URL_SQL = r"(select * replace (regexp_replace(text, '(?i)\b(https?://|www\.)[^\s<>\"'']+', ' ', 'g') as text) from {0})"
+
+
+@query(_CLEAN.format(key="doc_id", stop=_STOP_SQL, table=_URL_SQL.format("documents")))
 def clean_basic(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.clean("text", remove_urls=False).alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.clean("text").alias("clean"))
+
+
+_SAYS = "I won't say it's fine; you'd better ask whether they can't come, as we've WON'T said they're ain't, she'll know. See https://example.org/a?b=c and www.example.com now. "
+_SAYS_SQL = _SAYS.replace("'", "''")
+_EXPAND = r"""case w when 'won''t' then 'will_not' when 'can''t' then 'cannot' when 'i''m' then 'i am' when 'ain''t' then 'is not' when 'it''s' then 'it is' else
+  case when regexp_full_match(w, '[a-z]+''ll') then w[:-4] || ' will' when regexp_full_match(w, '[a-z]+n''t') then w[:-4] || '_not' when regexp_full_match(w, '[a-z]+''ve') then w[:-4] || ' have'
+       when regexp_full_match(w, '[a-z]+''re') then w[:-4] || ' are' when regexp_full_match(w, '[a-z]+''d') then w[:-3] || ' would' else replace(w, chr(39), ' ') end end"""
+
+
+@query(rf"""with t as (select doc_id, regexp_extract_all(regexp_replace(lower(strip_accents('{_SAYS_SQL}' || text)), '\b(https?://|www\.)[^\s<>"'']+', ' ', 'g'), '[\p{{L}}\p{{N}}_'']+') as ws from documents where text is not null),
+e as (select doc_id, string_split(array_to_string([{_EXPAND} for w in ws], ' '), ' ') as ws from t)
+select doc_id, array_to_string([w for w in ws if length(w) >= 3 and w not in {_STOP_SQL} and not regexp_matches(w, '[0-9]')], ' ') as clean from e""")
+def clean_contractions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", tx.clean(F.concat(F.lit(_SAYS), "text")).alias("clean"))
 
 
 @query(_CLEAN.format(key="conv_id, turn", stop=_STOP_SQL, table="conversations"))
@@ -131,6 +152,44 @@ def edit_ratio_ascii(spark, sf_dir):
     return a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", F.round(fuzzy.edit_ratio("x", "y"), 6).alias("ratio"))
 
 
+_NAMES = "n as (select distinct p_name as x from part)"
+#: Longest common subsequence of short strings, row by row over the bits of the first: the same recurrence in SQL integers.
+_LCS = "(length({a}) - bit_count(list_reduce([list_reduce([case when substr({a}, i, 1) = substr({b}, j, 1) then 1::hugeint << (i - 1) else 0::hugeint end for i in range(1, length({a}) + 1)], lambda p, q: p | q, 0::hugeint) for j in range(1, length({b}) + 1)], lambda r, m: ((r + (r & m)) | (r - (r & m))) & ((1::hugeint << length({a})) - 1), (1::hugeint << length({a})) - 1)))"
+
+
+def _name_pairs(spark, sf_dir):
+    """All pairs of the part table's few different names."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    return names.select(F.col("p_name").alias("a")).join(F.broadcast(names.select(F.col("p_name").alias("b"))))
+
+
+@query(f"with {_NAMES} select n.x as a, m.x as b, round(200.0 * {_LCS.format(a='n.x', b='m.x')} / (length(n.x) + length(m.x)), 6) as ratio from n join n m on true")
+def fuzzy_ratio_names(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(fuzzy.fuzzy_ratio("a", "b"), 6).alias("ratio"))
+
+
+@query(f"""with {_NAMES}, p as (select n.x as a, m.x as b, case when length(n.x) <= length(m.x) then n.x else m.x end as s, case when length(n.x) <= length(m.x) then m.x else n.x end as l from n join n m on true),
+w as (select a, b, s, substr(l, pos, length(s)) as part from (select *, unnest(range(1, length(l) - length(s) + 2)) as pos from p))
+select a, b, round(max(100.0 * {_LCS.format(a='s', b='part')} / length(s)), 6) as ratio from w group by a, b""")
+def fuzzy_partial_ratio_names(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(fuzzy.fuzzy_partial_ratio("a", "b"), 6).alias("ratio"))
+
+
+@query(f"""with {_NAMES}, p as (select n.x as a, m.x as b from n join n m on true), s as (select a, b, i, unnest(range(1, length(a) - i + 2)) as size from (select *, unnest(range(1, length(a) + 1)) as i from p)),
+c as (select *, substr(a, i, size) as part from s where contains(b, substr(a, i, size)))
+select p.a, p.b, coalesce(arg_max(part, size * 1000 - i), '') as overlap from p left join c on p.a = c.a and p.b = c.b group by p.a, p.b""")
+def largest_overlap_names(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", fuzzy.largest_overlap("a", "b").alias("overlap"))
+
+
+@query()
+def raw_overlaps_turns(spark, sf_dir):
+    """Matching blocks of each turn and the next; the blocks' order depends on their recursion, which SQL hasn't."""
+    c = table(spark, sf_dir, "conversations")
+    a, b = c.select("conv_id", "turn", F.col("text").alias("x")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("y"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", fuzzy.text_overlaps("x", "y", 8, tokenize=False).alias("overlaps"))
+
+
 # Tf-idf
 
 
@@ -211,6 +270,38 @@ def fuzzy_ratio_pairs(spark, sf_dir):
     return similarity.duplicate_pairs(corpus(spark, sf_dir)).select("id_a", "id_b", *r6("sim", "ratio"))
 
 
+_PART = "(select p_partkey as doc_id, p_name || ' ' || p_type || ' ' || p_name || ' no' || p_size as text from part)"
+_PART_PAIRS = f"""{weights(source="docs")},
+near as (select a.doc_id as id_a, b.doc_id as id_b, sum(a.weight * b.weight) as sim from post a join post b on a.term = b.term and a.doc_id < b.doc_id group by all having sum(a.weight * b.weight) >= 0.8 - 1e-9),
+texts as (select distinct x.text as a, y.text as b from near join docs x on x.doc_id = id_a join docs y on y.doc_id = id_b),
+ratios as (select a, b, 200.0 * {_LCS.format(a='a', b='b')} / (length(a) + length(b)) as ratio from texts),
+pairs as (select id_a, id_b, sim, ratio from near join docs x on x.doc_id = id_a join docs y on y.doc_id = id_b join ratios on ratios.a = x.text and ratios.b = y.text where ratio >= 90)"""
+
+
+def _parts_corpus(spark, sf_dir):
+    text = F.concat_ws(" ", "p_name", "p_type", "p_name", F.concat(F.lit("no"), F.col("p_size").cast("string")))
+    return tfidf.Corpus(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
+@query(f"with docs as {_PART}, {_PART_PAIRS} select id_a, id_b, round(sim, 6) as sim, round(ratio, 6) as ratio from pairs")
+def fuzzy_ratio_pairs_parts(spark, sf_dir):
+    return similarity.duplicate_pairs(_parts_corpus(spark, sf_dir), 0.8).select("id_a", "id_b", *r6("sim", "ratio"))
+
+
+@query(f"""with recursive docs as {_PART}, {_PART_PAIRS}, e as materialized (select id_a as u, id_b as v from pairs union select id_b, id_a from pairs),
+reach as (select u, u as v from e union select r.u, e.v from reach r join e on r.v = e.u)
+select min(v) as group_id, u as doc_id from reach group by u""")
+def find_duplicates_parts(spark, sf_dir):
+    return similarity.find_duplicates(_parts_corpus(spark, sf_dir), tfidf_threshold=0.8).select("group_id", "doc_id")
+
+
+@query(f"""with docs as {_PART}, {_PART_PAIRS.replace("where ratio >= 90", "where ratio >= 90 and x.text[1] = y.text[1]")} select id_a, id_b, round(ratio, 6) as ratio from pairs""")
+def find_duplicates_filtered(spark, sf_dir):
+    """Pairs that a condition on both rows lets through."""
+    same = lambda a, b: F.substring(f"{a}.text", 1, 1) == F.substring(f"{b}.text", 1, 1)
+    return similarity.duplicate_pairs(_parts_corpus(spark, sf_dir), 0.8, filter_function=same, decode_text=True).select("id_a", "id_b", *r6("ratio"))
+
+
 @query()
 def find_duplicates(spark, sf_dir):
     return similarity.find_duplicates(corpus(spark, sf_dir)).select("group_id", "doc_id")
@@ -431,13 +522,34 @@ def _coders(spark, sf_dir):
 _CODES = "c as (select doc_id, n_chars::double as w, quality as t, (n_chars > 400)::int as p from labels join documents using (doc_id))"
 
 
-@query(f"""with {_CODES}, m as (select sum(w) as n, sum(w * t * p) as tp, sum(w * (1 - t) * (1 - p)) as tn, sum(w * (1 - t) * p) as fp, sum(w * t * (1 - p)) as fn, count(*) as k, sum((t = p)::int)::double as agree from c),
-d as (select *, (tp + tn) / n as acc, ((tp + fp) * (tp + fn) + (tn + fp) * (tn + fn)) / (n * n) as pe, tp / (tp + fp) as pr, tp / (tp + fn) as re from m)
-select k as n, round(acc, 6) as accuracy, round((acc - pe) / (1 - pe), 6) as cohens_kappa, round(2 * pr * re / (pr + re), 6) as f1, round(pr, 6) as precision, round(re, 6) as recall,
-round((tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)), 6) as matthews_corrcoef, round((re + tn / (tn + fp)) / 2, 6) as roc_auc, round(agree / k, 6) as pct_agree_unweighted from d""")
+@query(f"""with {_CODES}, m as (select sum(w) as n, sum(w * t * p) as tp, sum(w * (1 - t) * (1 - p)) as tn, sum(w * (1 - t) * p) as fp, sum(w * t * (1 - p)) as fn, count(*) as k, sum((t = p)::int)::double as agree, sum(t)::double as t1, sum(p)::double as p1 from c),
+d as (select *, (tp + tn) / n as acc, ((tp + fp) * (tp + fn) + (tn + fp) * (tn + fn)) / (n * n) as pe, tp / (tp + fp) as pr, tp / (tp + fn) as re, (tp + fn) / n as tm, (tp + fp) / n as pm, t1 / k as tu, p1 / k as pu from m),
+u as (select 2.0 * k as n2, 2 * (k - agree) as o2, (t1 + p1) * (t1 + p1) + (2 * k - t1 - p1) * (2 * k - t1 - p1) as k2 from m)
+select k as n, round(acc, 6) as accuracy, round((acc - pe) / (1 - pe), 6) as cohens_kappa, round(2 * pr * re / (pr + re), 6) as f1, round(pr, 6) as precision, round(re, 6) as recall, round(least(pr, re), 6) as precision_recall_min,
+round((tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)), 6) as matthews_corrcoef, round((re + tn / (tn + fp)) / 2, 6) as roc_auc, round(agree / k, 6) as pct_agree_unweighted,
+round(tm, 6) as coder1_mean, round(pm, 6) as coder2_mean, round(sqrt(tm * (1 - tm)) / sqrt(n - 1), 6) as coder1_std, round(sqrt(pm * (1 - pm)) / sqrt(n - 1), 6) as coder2_std,
+round(tu, 6) as coder1_mean_unweighted, round(pu, 6) as coder2_mean_unweighted, round(sqrt(tu * (1 - tu)) / sqrt(k - 1), 6) as coder1_std_unweighted, round(sqrt(pu * (1 - pu)) / sqrt(k - 1), 6) as coder2_std_unweighted,
+round(1 - (o2 / n2) / ((n2 * n2 - k2) / (n2 * (n2 - 1))), 6) as alpha_unweighted, 'label' as coder1, 'length' as coder2, 'code' as outcome_column, '1' as pos_label from d, u""")
 def irr_pair_scores(spark, sf_dir):
     s = irr.scores(_coders(spark, sf_dir), "label", "length", "code", "doc_id", "coder", "w", pos_label=1)
-    return s.select("n", *r6("accuracy", "cohens_kappa", "f1", "precision", "recall", "matthews_corrcoef", "roc_auc", "pct_agree_unweighted"))
+    words = {"n", "coder1", "coder2", "outcome_column", "pos_label"}
+    return s.select(*words, *r6(*[c for c in s.columns if c not in words]))
+
+
+_GRADES = "g as (select quality + toxic as t, (n_chars > 400)::int + (n_chars > 5000)::int as p from labels join documents using (doc_id) where quality is not null and toxic is not null)"
+
+
+@query(f"""with {_GRADES}, n as (select count(*)::double as n, sum((t = p)::int)::double as agree from g), l as (select distinct v from (select t as v from g union all select p from g)),
+s as (select v, (select count(*) from g where t = v)::double as t, (select count(*) from g where p = v)::double as p, (select count(*) from g where t = v and p = v)::double as hit from l),
+e as (select *, case when p > 0 then hit / p else 0 end as pr, case when t > 0 then hit / t else 0 end as re from s),
+f as (select *, case when pr + re > 0 then 2 * pr * re / (pr + re) else 0 end as f1 from e)
+select cast(n as bigint) as n, round(agree / n, 6) as accuracy, round(sum(t * f1) / n, 6) as f1, round(sum(t * pr) / n, 6) as precision, round(sum(t * re) / n, 6) as recall,
+round((agree * n - sum(t * p)) / sqrt((n * n - sum(p * p)) * (n * n - sum(t * t))), 6) as matthews_corrcoef, round(agree / n, 6) as pct_agree_unweighted from f, n group by n, agree""")
+def irr_pair_scores_multiclass(spark, sf_dir):
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").filter("quality is not null and toxic is not null")
+    each = F.explode(F.array(F.struct(F.lit("label").alias("coder"), (F.col("quality") + F.col("toxic")).cast("int").alias("code")), F.struct(F.lit("length").alias("coder"), ((F.col("n_chars") > 400).cast("int") + (F.col("n_chars") > 5000).cast("int")).alias("code"))))
+    s = irr.scores(both.select("doc_id", each.alias("c")).select("doc_id", "c.*"), "label", "length", "code", "doc_id", "coder")
+    return s.select("n", *r6("accuracy", "f1", "precision", "recall", "matthews_corrcoef", "pct_agree_unweighted"))
 
 
 _UNITS = f"{_CODES}, l as (select t as a, p as b from c), n as (select 2.0 * count(*) as n, sum((a <> b)::int) * 2.0 as o from l), k as (select v, count(*)::double as k from (select a as v from l union all select b from l) group by v), q as (select sum(k * k) as k2 from k)"
@@ -453,7 +565,17 @@ def irr_fleiss(spark, sf_dir):
     return irr.overall_scores(_coders(spark, sf_dir), "code", "doc_id", "coder").select(*r6("fleiss_kappa"))
 
 
-@query()
+@query(f"""with l as (select quality as c1, toxic as o1, (n_chars > 400)::int as c2, (n_chars > 5000)::int as o2 from labels join documents using (doc_id)),
+s as (select 'a' || c1 || o1 as x, 'a' || c2 || o2 as y from l), k as (select 2.0 * count(*) as n from s),
+v as (select s, count(*)::double as k from (select x as s from s union all select y from s) group by s),
+pairs as (select x, y, 1.0 as w, 'o' as side from s union all select a.s, b.s, a.k * b.k - case when a.s = b.s then a.k else 0 end, 'e' from v a join v b on true),
+d as (select *, (x[2] = y[2])::int + (x[3] = y[3])::int as ov from pairs),
+z as (select side, sum(w * case when ov = 2 then 0 else 1 end) as discrete, sum(w * case ov when 2 then 0 when 1 then 2.0 / 3 else 1 end) as jaccard, sum(w * case ov when 2 then 0 when 1 then 1 - 0.33 / 3 else 1 end) as masi, sum(w * (1 - ov / 2.0)) as cosine from d group by side),
+e as (select sum(p.k * q.k) / (select count(*) * count(*) from s)::double as e from (select x, count(*)::double as k from s group by x) p join (select y, count(*)::double as k from s group by y) q on p.x = q.y),
+f as (select sum(k * k) / ((select n * n from k)) as pe from v)
+select {", ".join(f"round(1 - (2 * o.{d} / n) / (e.{d} / (n * (n - 1))), 6) as alpha_{d}, round(((1 - 2 * o.{d} / n) - e.e) / (1 - e.e), 6) as kappa_{d}" for d in ("discrete", "jaccard", "masi", "cosine"))},
+round(((1 - 2 * o.discrete / n) - pe) / (1 - pe), 6) as fleiss_kappa_classic
+from (select * from z where side = 'o') o, (select z.*, e.e from z, e where side = 'e') e, k, f""")
 def irr_multivariate(spark, sf_dir):
     out = irr.overall_scores_multivariate(_coders(spark, sf_dir), "doc_id", "coder", ["code", "other"])
     return out.select(*r6(*out.columns))
@@ -506,58 +628,135 @@ def correspondence_lang_source(spark, sf_dir):
 
 
 def _topics(spark, sf_dir, method, k=5, **params):
-    docs = table(spark, sf_dir, "documents")
-    return topics.TopicModel(docs, "doc_id", "text", method, k, max_ngram_size=1, min_df=0.02, max_df=0.5).fit(**params).topics(10)
+    """All parameters of the methods are their defaults, bigrams included; only the vocabulary is cut by frequency."""
+    return topics.TopicModel(table(spark, sf_dir, "documents"), "doc_id", "text", method, k, min_df=0.02, max_df=0.5).fit(**params)
 
 
 @query()
 def lda_topics(spark, sf_dir):
-    return _topics(spark, sf_dir, "lda", max_iter=20)
+    return _topics(spark, sf_dir, "lda").topics(10)
 
 
 @query()
 def lda_auto_topics(spark, sf_dir):
-    return _topics(spark, sf_dir, "lda_auto", passes=2)
+    return _topics(spark, sf_dir, "lda_auto").topics(10)
 
 
 @query()
 def hdp_topics(spark, sf_dir):
-    return _topics(spark, sf_dir, "hdp", None, T=20, max_iter=10)
+    return _topics(spark, sf_dir, "hdp", None).topics(10)
 
 
 @query()
 def nmf_topics(spark, sf_dir):
-    return _topics(spark, sf_dir, "nmf", max_iter=10)
+    return _topics(spark, sf_dir, "nmf").topics(10)
 
 
 @query()
 def corex_topics(spark, sf_dir):
-    return _topics(spark, sf_dir, "corex", max_iter=10)
+    return _topics(spark, sf_dir, "corex").topics(10)
+
+
+@query()
+def corex_score(spark, sf_dir):
+    score = _topics(spark, sf_dir, "corex", anchors=["the", "und"]).get_score()
+    return spark.createDataFrame(list(score.items()), "name string, value double")
+
+
+@query()
+def nmf_document_topics(spark, sf_dir):
+    return _topics(spark, sf_dir, "nmf").document_topics(table(spark, sf_dir, "documents"))
+
+
+def _text_features(spark, sf_dir):
+    return clustering.text_features(corpus(spark, sf_dir, stop_words=STOP, min_df=0.02, max_df=0.5))
+
+
+@query()
+def kmeans_texts(spark, sf_dir):
+    return clustering.kmeans(_text_features(spark, sf_dir), 10, seed=1)
+
+
+@query()
+def hdbscan_texts(spark, sf_dir):
+    return clustering.hdbscan(_text_features(spark, sf_dir), min_cluster_size=10)
+
+
+@query()
+def pca_texts(spark, sf_dir):
+    return decomposition.pca(_text_features(spark, sf_dir), k=5).scores
 
 
 # Dates, entities, words
 
 
-@query("select o_orderkey, date_trunc('day', o_orderdate) as ts, strftime(o_orderdate, '%B %-d, %Y') as raw from orders")
+@query("""with d as (select o_orderkey, 0 as k, date_trunc('day', o_orderdate) as ts, strftime(o_orderdate, '%B %-d, %Y') as raw from orders
+union all select o_orderkey, 1, date_trunc('day', o_orderdate) + interval 40 day, strftime(o_orderdate + interval 40 day, '%m/%d/%Y') from orders)
+select o_orderkey, ts, raw from d where ts >= date '1995-03-01' and ts < date '1997-01-01'""")
 def date_finder(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Sold on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" at 10:30 to you.")).alias("text"))
-    return dates.dates_table(o, "o_orderkey", "text").withColumnRenamed("doc_id", "o_orderkey")
+    a, b = F.date_format("o_orderdate", "MMMM d, yyyy"), F.date_format(F.date_add("o_orderdate", 40), "MM/dd/yyyy")
+    text = F.concat(F.lit("Sold on "), a, F.lit(" at 10:30 to you; due "), b, F.lit(", or by "), a, F.lit(". Call 12 to 15 people."))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return dates.dates_table(o, "o_orderkey", "text", cutoff_start="1995-03-01", cutoff_end="1996-12-31").withColumnRenamed("doc_id", "o_orderkey")
+
+
+_LEXICON_SQL = f"lex as (select w as word, case when right(w, 1) = 'n' then 'NN' when right(w, 1) = 'e' then 'JJ' else 'VB' end as tag, case when length(w) > 4 and right(w, 1) = 's' then w[:-2] else w end as lemma from (select distinct unnest(regexp_extract_all(lower(text), '{_TOKEN}')) as w from benchmark))"
+_TAGGED = f"wd as (select doc_id, unnest(w) as word, unnest(range(len(w))) as position from (select doc_id, regexp_extract_all(text, '{_TOKEN}') as w from documents where text is not null)), tg as (select wd.*, tag, coalesce(lemma, lower(wd.word)) as lemma from wd left join lex on lower(wd.word) = lex.word)"
+
+
+def _lexicon(spark, sf_dir):
+    """A lexicon for want of one: the benchmark's words, tagged by their ends."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens("text")).alias("word")).distinct()
+    tag = F.when(F.right("word", F.lit(1)) == "n", "NN").when(F.right("word", F.lit(1)) == "e", "JJ").otherwise("VB")
+    lemma = F.when((F.length("word") > 4) & (F.right("word", F.lit(1)) == "s"), F.expr("left(word, length(word) - 1)")).otherwise(F.col("word"))
+    return w.select("word", tag.alias("tag"), lemma.alias("lemma"))
+
+
+@query(f"with {_LEXICON_SQL}, {_TAGGED} select doc_id, string_agg(word, ' ' order by position) as text from tg where tag in ('NN', 'JJ', 'NNP') group by doc_id")
+def pos_filter(spark, sf_dir):
+    return language.filter_tags(table(spark, sf_dir, "documents"), "doc_id", "text", _lexicon(spark, sf_dir))
+
+
+@query(f"with {_LEXICON_SQL}, {_TAGGED} select doc_id, string_agg(lemma, ' ' order by position) as text from tg group by doc_id")
+def lemmatise(spark, sf_dir):
+    return language.lemmatise(table(spark, sf_dir, "documents"), "doc_id", "text", _lexicon(spark, sf_dir))
 
 
 @query()
+def pos_filter_rules(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", language.filter_parts_of_speech("text").alias("text"))
+
+
+_FAMOUS = r"'[A-Z][a-z]{4,}(?: [a-z]{4,})?'"
+
+
+@query(rf"""with g as (select name, case when name < 'M' then 'PERSON' else 'LOCATION' end as kind from (select distinct unnest(regexp_extract_all(text, {_FAMOUS})) as name from benchmark)),
+w as (select doc_id, regexp_extract_all(text, '{_TOKEN}') as w from documents where text is not null),
+r as (select distinct doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as name from w)
+select kind, r.name, count(*) as n from r join g on r.name = g.name group by kind, r.name""")
 def ner_counts(spark, sf_dir):
-    found = table(spark, sf_dir, "conversations").select(F.explode(language.named_entities("text")).alias("kind", "names"))
-    return found.groupBy("kind").agg(F.sum(F.size("names")).cast("long").alias("n"))
+    """Names of a table, here capitalised words of the benchmark with and without the next, by the texts they stand in."""
+    found = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_FAMOUS.strip("'")), F.lit(0))).alias("name")).distinct()
+    names = found.withColumn("kind", F.when(F.col("name") < "M", "PERSON").otherwise("LOCATION"))
+    hits = language.entities_by_table(table(spark, sf_dir, "documents"), "doc_id", "text", names)
+    return hits.groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
 @query()
-def pos_filter(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", language.filter_parts_of_speech("text").alias("text"))
+def ner_rules(spark, sf_dir):
+    """Entities told by the shape of words, as a stand-in for a model."""
+    found = table(spark, sf_dir, "documents").select(F.explode(language.named_entities("text")).alias("kind", "names"))
+    return found.groupBy("kind").agg(F.sum(F.size("names")).cast("long").alias("n"))
+
+
+#: Senses, least depth and largest lemma count of some words.
+_SENSES = [("the", 0, None, None), ("and", 0, None, None), ("mit", 1, 6, 1), ("ein", 2, 7, 0), ("que", 2, 5, 2), ("dans", 3, 4, 9), ("for", 2, 4, 1), ("with", 5, 2, 30), ("los", 4, 6, 1), ("une", 4, 3, 1), ("pour", 6, 2, 12), ("sich", 2, 3, 8), ("nicht", 9, 9, 40), ("para", 2, 9, 3)]
 
 
-@query("select term, df <= 1 or ((df < 3)::int + (len >= 5)::int + (df <= 2)::int) > 1 as is_stopword from (select term, count(distinct item_id) as df, length(term) as len from (select item_id, unnest(regexp_extract_all(lower(text), '" + _TOKEN + "')) as term from benchmark) group by term)")
+@query(f"""with lex(word, n, depth, lemma) as (values {", ".join(f"('{w}', {n}, {'null' if d is None else d}, {'null' if m is None else m})" for w, n, d, m in _SENSES)}),
+t as (select distinct unnest(regexp_extract_all(lower(text), '{_TOKEN}')) as term from documents)
+select term, coalesce(n, 0) <= 1 or ((n < 3)::int + coalesce((depth >= 5)::int, 0) + coalesce((lemma <= 2)::int, 0)) > 1 as is_stopword from t left join lex on term = word""")
 def stopword_detector(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(tx.tokens("text")).alias("term"))
-    counts = words.groupBy("term").agg(F.count_distinct("item_id").alias("n"))
-    lexicon = counts.select(F.col("term").alias("word"), F.col("n").alias("n_synsets"), F.length("term").alias("min_depth"), F.col("n").alias("max_lemma"))
-    return language.probable_stopwords(counts.select("term"), lexicon, "term")
+    words = table(spark, sf_dir, "documents").select(F.explode(tx.tokens("text")).alias("term")).distinct()
+    lexicon = spark.createDataFrame(_SENSES, "word string, n_synsets int, min_depth int, max_lemma int")
+    return language.probable_stopwords(words, lexicon, "term")

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; bounds a worker's temporary arrays at about 100 MB whatever the batch size is.
-SLICE_BYTES = 1 << 21
+#: Bytes of text handled at once; bounds a worker's temporary arrays at about 50 MB whatever the batch size is.
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

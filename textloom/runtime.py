@@ -45,6 +45,17 @@ def drop_written(spark: SparkSession) -> None:
         drop_path(spark, _WRITTEN.pop())
 
 
+def written_so_far() -> int:
+    """A mark for ``drop_written_since``."""
+    return len(_WRITTEN)
+
+
+def drop_written_since(spark: SparkSession, mark: int) -> None:
+    """Deletes the tables written since the mark."""
+    while len(_WRITTEN) > mark:
+        drop_path(spark, _WRITTEN.pop())
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = new_table_path(df.sparkSession, name)

@@ -1,11 +1,14 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm import common
 from tests.llm.test_decontaminate import brute as holds
-from textloom.llm import bpe, queries
+from tests.llm.test_linededup import brute_whole, spark_hashes
+from textloom.llm import bpe, langid, queries, simhash
 
 
 def test_stages():
@@ -81,3 +84,75 @@ def test_copies_that_line_dedup_emptied_go(spark, folder):
     assert sorted(r.doc_id for r in docs.collect() if r.text == "" and r.doc_id) == [2, 3, 4, 5]
     left = sorted([(r.doc_id, r.text) for r in _stage("near_duplicates")(spark, docs, folder).collect()], key=str)
     assert left == sorted([(1, text), (2, ""), (9, "!!"), (None, ""), (10, None)], key=str)
+
+
+def _near_brute(now, before):
+    """Ids that stay when one of each group of texts within the limit stays, by all pairs of fingerprints."""
+    nodes = [(i, t) for i, t in [*now, *[x for x in before if x[0] in {i for i, _ in now}]] if i is not None and t]
+    f, some = simhash.fingerprints(pa.array([t for _, t in nodes]))
+    top = {i: i for i, _ in nodes}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(nodes)):
+        for b in range(a):
+            if some[a] and some[b] and np.bitwise_count(f[a] ^ f[b]).sum() <= simhash.MAX_DISTANCE:
+                x, y = find(nodes[a][0]), find(nodes[b][0])
+                top[max(x, y)] = min(x, y)
+    first: dict = {}
+    for i, t in sorted((i, t) for i, t in now if i is not None and t is not None and not any(c.isalnum() for c in t)):
+        first.setdefault(t, i)
+    return {i for i, t in now if i is None or (i not in top or find(i) == i) and first.get(t, i) == i}
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """Documents of which some are near copies that differ in a few lines, so that line dedup leaves only these of them."""
+    rng, rows = random.Random(6), []
+    for base in range(8):
+        lines = [f"{common.sentence(base * 40 + k, 11)}." for k in range(14)]
+        for copy in range(3):
+            mine = list(lines)
+            for k in rng.sample(range(14), copy):
+                mine[k] = mine[k].replace(".", f" changed{base}x{copy}.")
+            rows.append((len(rows), " ".join(mine)))
+    rows += [(90, " ".join(f"{common.sentence(900 + k, 9)}." for k in range(6))), (None, rows[0][1]), (91, None), (92, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], common.DOCS).coalesce(1)
+    path = tmp_path_factory.mktemp("copies")
+    docs.write.parquet(f"{path}/documents.parquet")
+    return str(path), rows
+
+
+def test_line_dedup_and_near_duplicates_against_brute_force(spark, copies):
+    folder, rows = copies
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    cut = _stage("line_dedup")(spark, docs, folder)
+    now = [(r.doc_id, r.text) for r in cut.collect()]
+    assert sorted([t for _, t in now], key=str) == sorted(brute_whole(rows, spark_hashes(docs)), key=str)
+    assert sum(len(t or "") for _, t in now) < 0.6 * sum(len(t or "") for _, t in rows)
+    kept = [r.doc_id for r in _stage("near_duplicates")(spark, cut, folder).collect()]
+    want = _near_brute(now, rows)
+    assert set(kept) == want and len(kept) == len(want)
+    # every near copy that the whole texts show is gone, though only changed lines were left of it
+    lost = {r.doc_id for r in simhash.near_duplicate_groups(docs).filter("not kept").collect()}
+    assert len(lost) == 16 and not lost & set(kept)
+
+
+def test_language_stage_drops_what_is_rejected(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    bad = {r.doc_id for r in langid.identify_documents(docs).filter("rejected").collect()}
+    assert sorted([r.doc_id for r in _stage("language_id")(spark, docs, folder).collect()], key=str) == sorted([r.doc_id for r in docs.collect() if r.doc_id not in bad], key=str)
+    assert 10_004 in bad or 10_004 not in {r.doc_id for r in _stage("language_id")(spark, docs, folder).collect()}
+
+
+def test_columns_of_any_name(spark, folder):
+    docs = common.odd_docs(spark)
+    more = ["i", "h", "__doc", "__hash", "__bad", "c0", "c1", "loser", "cuts", "id", "text_hash", "node", "part"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = stage(spark, docs, folder)
+        out = stage(spark, docs.selectExpr("*", *[f"7 as `{x}`" for x in more]), folder)
+        assert out.columns == docs.columns + more
+        assert common.rows(out.select(docs.columns)) == common.rows(plain) and {tuple(r) for r in out.select(more).collect()} <= {(7,) * len(more)}

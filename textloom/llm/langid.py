@@ -68,10 +68,15 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Trigram counts by language of at most ``sample_rows`` labelled rows, half a count added to each bucket."""
-    known = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    picked = known.select(F.col(id_col).alias("__picked")).distinct().orderBy(F.xxhash64("__picked"), "__picked").limit(sample_rows)
-    sample = known.join(F.broadcast(picked), known[id_col] == picked["__picked"], "left_semi")
+    """Trigram counts by language of labelled rows, half a count added to each bucket.
+
+    The sample is the rows of the ``sample_rows`` smallest hashes of ids, ties by id. Rows without id, text or label
+    are left out, empty texts count nothing, very long ones are counted whole; rows that repeat an id are all taken.
+    Without labelled rows the model has no language. Other columns are not read, whatever their names.
+    """
+    known = labelled.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l")).na.drop()
+    picked = known.select(F.col("i").alias("picked")).distinct().orderBy(F.xxhash64("picked"), "picked").limit(sample_rows)
+    sample = known.join(F.broadcast(picked), known["i"] == picked["picked"], "left_semi")
 
     def count(batches):
         for batch in batches:
@@ -82,7 +87,7 @@ def fit_text_model(labelled: DataFrame, id_col: str, text_col: str, label_col: s
                 key, n = np.unique(code.astype(np.int64) * BUCKETS + bucket, return_counts=True)
                 yield pa.RecordBatch.from_arrays([labels.dictionary.take(pa.array(key // BUCKETS)).cast(pa.string()), pa.array(key % BUCKETS), pa.array(n)], ["label", "bucket", "n"])
 
-    pairs = sample.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
+    pairs = sample.select(F.col("t").alias("text"), F.col("l").alias("label"))
     counts = pairs.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts.column("label").to_pylist()))
     table = np.full((BUCKETS, len(languages)), 0.5)
@@ -114,7 +119,7 @@ def identify(
     language reaches ``min_posterior``, when it is less likely under every language than trigrams drawn at random,
     or when it has no letters and nothing else speaks for a language.
 
-    Null and empty texts have no likelihood: their markup, suffix and host decide, and they are rejected if all of
+    Very long texts are scored whole. Null and empty texts have no likelihood: their markup, suffix and host decide, and they are rejected if all of
     these are missing. A missing or unknown markup, suffix or host is no evidence. Ties go to the language first in
     the alphabet. Repeated rows are answered alike; null ids are carried. Other columns are not read. Without any
     labelled language (an empty model) every row is rejected with a null language.
@@ -187,13 +192,19 @@ def identify(
 
 
 def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``identify`` over ``documents``: the source is the host, and the labels are those of ``labelled`` (or ``docs``)."""
+    """``identify`` over ``documents``: the source is the host, and the labels are those of ``labelled`` (or ``docs``).
+
+    Nulls, empty and very long texts, ties, repeated rows, empty tables and other columns as in ``identify``.
+    """
     model = fit_text_model(docs if labelled is None else labelled, "doc_id", "text", "lang")
     return identify(docs, model, host=F.col("source"))
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
-    """``identify`` over ``pages``: visible text, the html element's lang, the address's suffix and host."""
+    """``identify`` over ``pages``: visible text, the html element's lang, the address's suffix and host.
+
+    A null page or address has no text or host; all else as in ``identify``.
+    """
     html = F.col("html")
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
     host = F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1), F.lit(""))
@@ -203,8 +214,14 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is found, with all their columns."""
-    found = identify_documents(docs).filter("rejected").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.lit(1).alias("__bad")).distinct()
-    bad = materialise(found, "langid-rejected")
-    same = docs["doc_id"].eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__hash"])
-    return docs.join(bad, same, "left_anti")
+    """The rows of ``docs`` whose language is found, with all their columns, whatever their names.
+
+    Null and empty texts go unless their source speaks for a language, as ``identify`` has it; very long texts are
+    scored whole; repeated rows go or stay together, ties between languages don't matter here. An empty table gives
+    an empty one.
+    """
+    bad = materialise(identify_documents(docs).filter("rejected").select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).distinct(), "langid-rejected")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}").cast("string")
+    return plain.join(bad, key.eqNullSafe(bad["i"]) & F.xxhash64(text).eqNullSafe(bad["h"]), "left_anti").toDF(*names)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import fuzzy
-from textloom.operators import cooccurrence, pmi, similarity, tfidf
+from textloom.operators import clustering, cooccurrence, pmi, similarity, tfidf
 from textloom.operators.components import connected_components
 
 MATCH = "I read books|I like reading|I read books|reading is nice|reading|books".split("|")
@@ -30,6 +30,73 @@ def test_match_list(spark, multiple, least, want):
     assert [r.match_text or "-" for r in got] == want.split()
 
 
+def _exclusive(texts, names, scores):
+    """Texts in order; each takes the best candidate that is free or no better taken; equal texts go together."""
+    owner, taken, seen = {}, {}, set()
+    for d, t in enumerate(texts):
+        if t in seen:
+            continue
+        seen.add(t)
+        for s, c in sorted(((-round(s, 9), c) for (x, c), s in scores.items() if x == d)):
+            if c not in owner or -s >= owner[c][1]:
+                if c in owner:
+                    taken.pop(owner[c][0], None)
+                owner[c] = (t, -s)
+                taken[t] = c
+                break
+    return {d: names[taken[t]] if t in taken else None for d, t in enumerate(texts)}
+
+
+def test_exclusive_matching_against_a_scan(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    names = [" ".join(rng.sample(words, 3)) for _ in range(12)]
+    texts = [" ".join(rng.sample(words, 4) + rng.choice(names).split()) for _ in range(50)]
+    texts += rng.sample(texts, 10)
+    c = corpus(spark, texts)
+    items = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    scores = {(r.doc_id, r.cand_id): r.similarity for r in tfidf.match_scores(c, items, "id", "name", 0.4).collect()}
+    got = {r.doc_id: r.match_text for r in tfidf.match_list(c, items, "id", "name", False, 0.4).collect()}
+    want = _exclusive(texts, names, scores)
+    assert got == want and sum(v is not None for v in want.values()) > 5
+
+
+def test_large_vocabularies_and_weights_are_joined(spark):
+    texts = _noisy(spark)
+    rows = lambda c: sorted((r.doc_id, r.term, r.tf, r.df, round(r.weight, 9)) for r in c.postings.collect())
+    pairs = lambda c: sorted((r.id_a, r.id_b, round(r.sim, 9)) for r in similarity.cosine_pairs(c, 0.8).collect())
+    sent = corpus(spark, texts, min_df=2)
+    want, near = rows(sent), pairs(sent)
+    vectors = lambda c: {r.doc_id: r.features for r in clustering.text_features(c).collect()}
+    features = vectors(sent)
+    kept = tfidf.BROADCAST_TERMS, similarity.BROADCAST_WEIGHTS
+    tfidf.BROADCAST_TERMS = similarity.BROADCAST_WEIGHTS = clustering.BROADCAST_TERMS = 0
+    try:
+        joined = corpus(spark, texts, min_df=2)
+        assert rows(joined) == want and pairs(joined) == near and near
+        assert vectors(sent) == features and len(features) == len(texts)
+    finally:
+        tfidf.BROADCAST_TERMS, similarity.BROADCAST_WEIGHTS = kept
+        clustering.BROADCAST_TERMS = kept[0]
+
+
+def test_fragments_in_texts_against_all_pairs(spark):
+    from textloom.operators import fragments
+
+    texts = ["Éa bc", "a bcd", None, "", "xx a bc", "abc"]
+    items = ["a b", "bc", "Ea", "", None, "É", "zz"]
+    docs, parts = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    plain = lambda t: t.replace("É", "E")
+    want = {(d, i) for d, t in enumerate(texts) for i, f in enumerate(items) if t is not None and f is not None and (f in t or plain(f) in plain(t))}
+    assert {tuple(r) for r in fragments.texts_with_fragments(docs, parts).collect()} == want
+    kept, fragments.CHARACTERS_AT_ONCE = fragments.CHARACTERS_AT_ONCE, 3
+    try:
+        assert {tuple(r) for r in fragments.texts_with_fragments(docs, parts).collect()} == want
+    finally:
+        fragments.CHARACTERS_AT_ONCE = kept
+    assert fragments.texts_with_fragments(docs, parts.limit(0)).count() == 0
+
+
 def test_search_gives_every_row(spark):
     got = tfidf.search(corpus(spark, MATCH), "nice books").collect()
     assert len(got) == 6 and got[0].text == "books" and got[-1].search_cosine_similarity == 0.0

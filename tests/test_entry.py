@@ -39,8 +39,11 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_query_runs(spark, name):
+    """Values are compared with brute force elsewhere; here each gives rows without nulls all over."""
     out = QUERIES[name](spark, SF)
-    assert out.columns and out.count() >= 0
+    rows = out.collect()
+    assert rows and all(any(v is not None for v in r) for r in rows)
+    assert all(any(r[c] is not None for r in rows) for c in out.columns)
 
 
 def test_entry(spark):

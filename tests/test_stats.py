@@ -133,6 +133,36 @@ def test_clusters(blobs):
     assert set(clustering.hdbscan_labels(x[:5], 10)) == {-1}
 
 
+@pytest.mark.parametrize("block", [7, 50, 1000])
+def test_density_clusters_in_blocks(blobs, block):
+    """Blocks of rows give what all rows in memory give, whatever the names of the clusters."""
+    x, df = blobs
+    got = {r.doc_id: r.cluster for r in clustering.hdbscan(clustering.array_features(df, "id", "v"), 8, 2, block).collect()}
+    want = clustering.hdbscan_labels(x, 8, 2)
+    assert {(got[i], int(w)) for i, w in enumerate(want)} == {(got[i], int(want[i])) for i in got} and len({*got.values()}) == len({(got[i], int(w)) for i, w in enumerate(want)}) == len({*want.tolist()})
+
+
+def test_wide_sparse_rows_against_numpy(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(2)
+    x = rng.random((60, 400)) * (rng.random((60, 400)) < 0.05)
+    rows = [(i, Vectors.sparse(400, np.flatnonzero(r).tolist(), r[r != 0].tolist()) if i % 2 else Vectors.dense(r)) for i, r in enumerate(x)]
+    f = spark.createDataFrame(rows, ["doc_id", "features"])
+    for run, m in ((decomposition.pca, x - x.mean(axis=0)), (decomposition.lsa, x)):
+        _, s, vt = np.linalg.svd(m, full_matrices=False)
+        v = vt[:3].T * np.sign(vt[:3].T[np.abs(vt[:3]).argmax(axis=1), range(3)])
+        got = np.array([list(r)[1:4] for r in run(f, k=3).scores.orderBy("doc_id").collect()], float)
+        assert np.allclose(got, m @ v, atol=1e-6)
+
+
+def test_rounds_are_those_asked_for(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    for method, rounds in (("nmf", 65), ("corex", 45)):
+        model = topics.TopicModel(df, "id", "text", method, 2, max_ngram_size=1).fit(max_iter=rounds, tol=-1.0)
+        assert model.rounds == rounds
+
+
 def test_pca_and_lsa_against_numpy(blobs):
     x, df = blobs
     f = clustering.array_features(df, "id", "v")
@@ -158,6 +188,11 @@ def test_correspondence_analysis(spark):
     mass = dict(zip(["r0", "r1", "r2", "r3"], r))
     assert sum(mass[g.node] * (g.mca_1**2 + g.mca_2**2) for g in got) == pytest.approx(inertia)
     assert [g.mca_1 for g in got] == sorted([g.mca_1 for g in got], reverse=True)
+    u, sv, _ = np.linalg.svd((p - np.outer(r, c)) / np.sqrt(np.outer(r, c)))
+    want = u[:, :2] * sv[:2] / np.sqrt(r)[:, None]
+    for g in got:
+        assert np.allclose(np.abs([g.mca_1, g.mca_2]), np.abs(want[int(g.node[1])]), atol=1e-8)
+    assert decomposition.correspondence_analysis(edges.limit(0), 2).columns == ["node", "mca_1", "mca_2"]
 
 
 TEXTS = ["cats purr and kittens purr loudly", "dogs bark and puppies bark loudly"] * 30

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -129,3 +130,36 @@ def test_probable_stopwords(spark):
     words = spark.createDataFrame([("the",), ("whale",), ("thing",), ("zzz",)], "word string")
     lexicon = spark.createDataFrame([("the", 1, 3, 9), ("whale", 2, 4, 9), ("thing", 2, 6, 1)], "word string, n_synsets int, min_depth int, max_lemma int")
     assert {r.word: r.is_stopword for r in language.probable_stopwords(words, lexicon).collect()} == {"the": True, "whale": False, "thing": True, "zzz": True}
+
+
+def test_common_subsequences_against_a_table():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 30))) for _ in range(2))
+        if rng.random() < 0.3:
+            b = a[:5] + b + a[-4:]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        assert fuzzy.lcs_length(a, b) == row[-1]
+        least = rng.randrange(0, 35)
+        assert fuzzy.lcs_length(a, b, least) == row[-1] or row[-1] < least > fuzzy.lcs_length(a, b, least)
+
+
+def test_words_by_table(spark):
+    docs = spark.createDataFrame([(1, "The cats saw New York"), (2, "nothing known"), (3, None), (4, "")], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("cats", "NN", "cat"), ("cats", "VB", "cat"), ("Saw", "VB", "see"), ("the", "DT", "the")], "word string, tag string, lemma string")
+    assert {r.doc_id: r.text for r in language.lemmatise(docs, "doc_id", "text", lexicon).collect()} == {1: "the cat see new york", 2: "nothing known"}
+    assert {r.doc_id: r.text for r in language.filter_tags(docs, "doc_id", "text", lexicon).collect()} == {1: "cats"}
+    assert {r.doc_id: r.text for r in language.filter_tags(docs, "doc_id", "text", lexicon, ["NN"], exclude=True).collect()} == {1: "The saw New York", 2: "nothing known"}
+    names = spark.createDataFrame([("New York", "GPE"), ("York", "PERSON"), ("york", "PERSON")], "name string, kind string")
+    assert {tuple(r) for r in language.entities_by_table(docs, "doc_id", "text", names).collect()} == {(1, "GPE", "New York"), (1, "PERSON", "York")}
+
+
+def test_runs_of_words(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],), (None,)], "w array<string>")
+    got = [r[0] for r in df.select(tx.ngrams(F.col("w"), 1, 3)).collect()]
+    assert got == [["a", "b", "c", "a b", "b c", "a b c"], ["a"], [], None]

@@ -122,7 +122,7 @@ def weigh(lists: DataFrame, vocab: DataFrame, n: int, o: Options) -> DataFrame:
 
     flat = lists.selectExpr("doc_id", "inline(arrays_zip(terms, tf)) as (term, tf)").join(known, "term")
     again = flat.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "df", "idf"))).alias("v"))
-    again = again.select("doc_id", *[F.transform("v", lambda x, c=c: x[c]).alias(c) for c in ("term", "tf", "df", "idf")])
+    again = again.select("doc_id", *[F.col(f"v.{c}").alias(c) for c in ("term", "tf", "df", "idf")])
 
     def after(batches):
         for batch in batches:

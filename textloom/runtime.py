@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _OWN: dict[str, str] = {}
 
@@ -63,6 +64,15 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids or hashes (some 16 bytes each) that are sent to every worker.
+BROADCAST_IDS = 4_000_000
+
+
+def sent_if_small(table: DataFrame) -> DataFrame:
+    """A written table of ids or hashes, to be broadcast if it has at most BROADCAST_IDS rows; joined by shuffle beyond."""
+    return broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a written table through Hadoop's file system API, so any scheme works."""
     jvm = spark.sparkContext._jvm

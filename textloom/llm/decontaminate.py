@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import arrays as A
-from textloom.runtime import materialise, require
+from textloom.runtime import materialise, require, sent_if_small
 
 Q = 8
 #: A match is a window of an item of this many letters and digits (the whole item if it is shorter) ...
@@ -299,4 +299,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = F.col(f"c{names.index(id_col)}").cast("long"), F.col(f"c{names.index(text_col)}").cast("string")
-    return plain.join(found, (F.xxhash64(text) == found["text_hash"]) & key.eqNullSafe(found["doc_id"]), "left_anti").toDF(*names)
+    return plain.join(sent_if_small(found), (F.xxhash64(text) == found["text_hash"]) & key.eqNullSafe(found["doc_id"]), "left_anti").toDF(*names)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import arrays as A
-from textloom.runtime import materialise, require
+from textloom.runtime import materialise, require, sent_if_small
 
 #: Labelled rows that the text model is fitted on, at most; they are those of the smallest hashes of their ids.
 SAMPLE_ROWS = 8_000
@@ -224,4 +224,4 @@ def drop_rejected(docs: DataFrame) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}").cast("string")
-    return plain.join(bad, key.eqNullSafe(bad["i"]) & F.xxhash64(text).eqNullSafe(bad["h"]), "left_anti").toDF(*names)
+    return plain.join(sent_if_small(bad), key.eqNullSafe(bad["i"]) & F.xxhash64(text).eqNullSafe(bad["h"]), "left_anti").toDF(*names)

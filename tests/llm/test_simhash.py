@@ -82,6 +82,7 @@ def test_groups_against_brute_force(spark):
     true = {(i, j) for i, j in zip(a[near].tolist(), b[near].tolist())}
     found = {p for p in true if p[0] in got and got[p[0]] == got.get(p[1])}
     assert len(true) > 100 and len(found) >= 0.9 * len(true)
+    assert found == true
     assert all(label[d] == label[g] for d, g in got.items())
     kept = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
     assert kept == {i for i, _ in docs} - {d for d, g in got.items() if d != g}
@@ -105,18 +106,43 @@ def test_odd_rows(spark):
     assert simhash.near_duplicate_groups(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
-def test_recall_at_every_distance_up_to_the_limit():
-    """A pair within the limit shares a key with the chance that key_plan promises, for few documents and for many."""
+def _pairs_at(rng, n, distance):
+    """Words of n random fingerprints, and of n others that differ from them in so many bits."""
+    base = rng.integers(0, 2, (n, 256), dtype=np.uint8)
+    other = base.copy()
+    for row in other:
+        row[rng.choice(256, distance, replace=False)] ^= 1
+    return [np.packbits(x, axis=1, bitorder="little").view(np.uint64) for x in (base, other)]
+
+
+def test_every_pair_is_found_at_every_distance_up_to_the_limit():
     rng = np.random.default_rng(1)
-    for n in (10, 10**6, 10**9):
-        bits, orders = simhash.key_plan(n)
-        for distance in (20, 34, 40, 44):
-            base = rng.integers(0, 2, (1500, 256), dtype=np.uint8)
-            other = base.copy()
-            for row in other:
-                row[rng.choice(256, distance, replace=False)] ^= 1
-            a, b = (simhash._keys(np.packbits(x, axis=1, bitorder="little").view(np.uint64), bits, orders) for x in (base, other))
-            assert (a == b).any(axis=1).mean() >= 0.9
+    for n, distances in ((300, (1, 20, 34, 40, 43, 44)), (6000, (44,))):
+        for distance in distances:
+            both = np.concatenate(_pairs_at(rng, n, distance))
+            for first in (n, 2 * n):
+                x, y = simhash._links(both, first)
+                assert sorted(zip(y.tolist(), x.tolist())) == [(i, n + i) for i in range(n)]
+    assert len(simhash._links(np.concatenate(_pairs_at(rng, 300, 45)), 600)[0]) == 0
+
+
+def test_chunks_leave_no_way_around_them():
+    for n in (1, 1000, 10**5, 10**6):
+        for most in (0, 3, 44, 60):
+            plan = simhash.chunk_plan(n, most)
+            assert sum(bits for _, bits, _ in plan) == 256 and sum(radius + 1 for *_, radius in plan) == most + 1
+
+
+def test_no_pair_at_the_limit_is_lost(spark, monkeypatch):
+    base, other = _pairs_at(np.random.default_rng(7), 700, simhash.MAX_DISTANCE)
+    rows = [(i, *map(int, w.view(np.int64))) for i, w in enumerate(np.concatenate([base, other]))]
+    prints = spark.createDataFrame(rows, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(simhash, "fingerprint_table", lambda *_: prints)
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    for small in (simhash.SMALL_BLOCK, 150):
+        monkeypatch.setattr(simhash, "SMALL_BLOCK", small)
+        got = {(r.group_id, r.doc_id) for r in simhash.near_duplicate_groups(docs).collect() if not r.kept}
+        assert got == {(i, 700 + i) for i in range(700)}
 
 
 def test_a_crowd_is_linked_as_all_pairs_link_it():
@@ -129,9 +155,12 @@ def test_a_crowd_is_linked_as_all_pairs_link_it():
     ok = simhash.within(words, a, b)
     want = simhash._stars(len(words), a[ok], b[ok])
     assert (simhash._reach(words, simhash.MAX_DISTANCE) == want).all() and 1 < len(set(want.tolist())) < 200
-    node, key = np.arange(len(words)) * 3, np.zeros(len(words), np.int64)
-    x, y = simhash._verify(node, key, words, simhash.MAX_DISTANCE)
-    assert (simhash._stars(len(words), x // 3, y // 3) == want).all()
+    x, y = simhash._links(words, len(words))
+    assert (simhash._stars(len(words), x, y) == want).all()
+    cross = (a < 150) & (b >= 150) & ok
+    x, y = simhash._links(words, 150)
+    got = simhash._stars(len(words), x, y)
+    assert (got[a[cross]] == got[b[cross]]).all() and (want[x] == want[y]).all()
 
 
 def test_texts_of_earlier_are_compared_too(spark):

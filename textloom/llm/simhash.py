@@ -1,7 +1,9 @@
-"""SimHash near-duplicates: pigeonring filtering before the full Hamming check."""
+"""SimHash near-duplicates: an exact Hamming join by chunks with few differences, pigeonring chains, full check."""
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -18,18 +20,20 @@ from textloom.runtime import materialise, require, sent_if_small
 BITS = 256
 #: Two documents are near-duplicates when their fingerprints differ in at most this many of the 256 bits.
 MAX_DISTANCE = 44
-#: A pair within the limit is looked at with this chance at least, whatever the number of documents.
-RECALL = 0.9
-#: Bits of a key for few documents; more documents get longer keys, and more of them.
-KEY_BITS = 16
+#: Fingerprints of a block, at most; a task compares two blocks. Fewer have smaller blocks, down to SMALL_BLOCK.
+BLOCK, SMALL_BLOCK = 1 << 18, 1 << 12
 #: The ring of the pigeonring test: 8 boxes of 32 bits, chains of 4 boxes.
 BOXES, CHAIN = 8, 4
 #: Whatever has a word: a byte of A.WORD.
 _WORD = r"[0-9A-Za-z_]|[^\x00-\x7F]"
 _PAIRS_AT_ONCE = 1 << 19
 _WORDS_AT_ONCE = 50_000
-#: Nodes of a key from which on it is searched node by node instead of pair by pair.
+#: Nodes of a bucket from which on those that are linked already are passed over together.
 _CROWD = 64
+#: Links that are held before they are joined.
+_LINKS_HELD = 1 << 16
+#: Nanoseconds to look up a bucket and to test a candidate, about; only their ratio matters.
+_LOOKUP, _TEST = 6, 8
 
 _LANES = np.array([sum(((v >> k) & 1) << (16 * k) for k in range(4)) for v in range(16)], np.uint64)
 _SEEDS = [np.uint64((q + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for q in range(BITS // 64)]
@@ -95,47 +99,53 @@ def within(x: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = MAX_DISTANCE
     return out
 
 
-def key_plan(n: int, most: int = MAX_DISTANCE, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a key, orders of the bits) for n fingerprints.
+@functools.cache
+def chunk_plan(n: int, most: int = MAX_DISTANCE) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of the chunks that the ring is cut into, for blocks of n fingerprints.
 
-    In each order the ring is cut into chains of so many bits, end to end, and each chain is a key. Two fingerprints
-    that differ in ``most`` bits agree in a chain that none of these is in; orders are added until they agree somewhere
-    with a chance of a little over ``recall``. A bit more for every fourfold of documents halves the chance meetings
-    that their square would bring.
+    The radii and one for each chunk add up to ``most`` + 1. So two fingerprints within ``most`` differ in at most
+    the radius in some chunk: if not, they'd differ in more than ``most`` bits. A chunk of radius -1 is not looked at.
+    More chunks have smaller radii, so fewer lookups and more candidates; the cheapest number for n is taken.
     """
-    bits = min(40, KEY_BITS + max(0, math.ceil((math.log2(max(n, 1)) - 18) / 2)))
-    miss = 1 - math.comb(BITS - bits, most) / math.comb(BITS, most)
-    return bits, max(1, math.ceil(math.log(0.75 * (1 - recall)) / math.log(miss) / (BITS // bits))) if 0 < miss < 1 else 1
-
-
-def _keys(words: np.ndarray, bits: int, orders: int) -> np.ndarray:
-    """(n, orders * chains) keys: the chains of ``bits`` segments of each order, with the chain's number above them."""
-    flat = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1)
-    chains = BITS // bits
-    place = np.int64(1) << np.arange(bits, dtype=np.int64)
-    out = np.empty((len(words), orders * chains), np.int64)
-    for k in range(orders):
-        order = np.random.default_rng(k).permutation(BITS)[: chains * bits]
-        values = flat[:, order].reshape(len(words), chains, bits) @ place
-        out[:, k * chains : (k + 1) * chains] = values | ((np.arange(chains) + k * chains) << bits)
-    return out
-
-
-def _pairs(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All i < j within each run, some hundred thousand at once; a run of any length is gone through in full."""
-    length = np.repeat(sizes, sizes)
-    index = np.arange(len(length))
-    position = index - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    after = length - position - 1
+    best, plan = math.inf, []
+    for m in range(8, 33):
+        cuts = [BITS * i // m for i in range(m + 1)]
+        radii = [(most + 1) // m - 1 + (i < (most + 1) % m) for i in range(m)]
+        bits = [b - a for a, b in zip(cuts, cuts[1:])]
+        if max(bits) > 22:
+            continue
+        lookups = [sum(math.comb(w, k) for k in range(r + 1)) for w, r in zip(bits, radii)]
+        cost = sum(_LOOKUP * x + _TEST * n * x / 2**w for x, w in zip(lookups, bits))
+        if cost < best:
+            best, plan = cost, list(zip(cuts, bits, radii))
+    return plan
+
+
+@functools.cache
+def _flips(bits: int, radius: int) -> list[int]:
+    """All values of so many bits with at most ``radius`` ones."""
+    return [sum(1 << i for i in c) for k in range(radius + 1) for c in itertools.combinations(range(bits), k)]
+
+
+def _turned(words: np.ndarray, first: int) -> np.ndarray:
+    """64 bits of the ring from bit ``first`` on."""
+    k, shift = divmod(first, 64)
+    low = words[:, k]
+    return low >> np.uint64(shift) | words[:, (k + 1) % 4] << np.uint64(64 - shift) if shift else low.copy()
+
+
+def _ranges(lo: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, its count, places lo .. lo + count of all indexes), some hundred thousand places at once."""
+    some = np.flatnonzero(count)
+    total = np.cumsum(count[some])
     done = 0
-    total = np.cumsum(after)
-    while done < len(after):
+    while done < len(some):
         base = total[done - 1] if done else 0
         stop = max(done + 1, int(np.searchsorted(total, base + _PAIRS_AT_ONCE, side="right")))
-        part = after[done:stop]
-        left = np.repeat(index[done:stop], part)
-        step = np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part) + 1
-        yield left, left + step
+        at = some[done:stop]
+        n = count[at]
+        before = total[done:stop] - base - n
+        yield at, n, np.repeat(lo[at] - before, n) + np.arange(total[stop - 1] - base)
         done = stop
 
 
@@ -166,40 +176,105 @@ def _reach(words: np.ndarray, most: int) -> np.ndarray:
         label[left[0]], left = name, left[1:]
         while queue and len(left):
             now = queue.pop()
-            near = within(words, np.full(len(left), now), left, most)
+            near = np.bitwise_count(words[left] ^ words[now]).sum(axis=1) <= most
             label[left[near]] = name
             queue.extend(left[near].tolist())
             left = left[~near]
     return label
 
 
-def _verify(node: np.ndarray, key: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smaller, larger node) that connect what links within ``most`` connect among the nodes of each key."""
-    order = np.argsort(node, kind="stable")
-    order = order[np.argsort(key[order], kind="stable")]
-    node, key, words = node[order], key[order], words[order]
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[cut, len(key)])
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _links(words: np.ndarray, first: int, most: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smaller node) that connect what links within ``most`` connect between two blocks.
+
+    ``words`` holds the first block and then the second; without a second one, links within the first are meant. By
+    chunk (``chunk_plan``), nodes of the first block look up the nodes of the second whose chunk differs in at most its
+    radius. By the pigeonring principle, a pair within the limit has a chunk from which on also every chain of
+    chunks is within the sum of what they are allowed; so candidates beyond that, in the chunks that 64 bits hold, go before
+    the full check, and no pair within the limit is lost. Pairs that are connected already needn't be linked again.
+    """
+    n = len(words)
+    label = np.arange(n)
+    second = first if first < n else 0
+    within_one = second == 0
+    plan = chunk_plan(max(1, n - second), most)
+
+    found = []
+    for k, (begin, bits, radius) in enumerate(plan):
+        if radius < 0:
+            continue
+        turned = _turned(words, begin)
+        value = turned & np.uint64((1 << bits) - 1)
+        label = _joined(label, _crowds(words, value, label, most))
+        # the longest chain of chunks that 64 bits hold
+        chain, allowed = bits, radius + 1
+        for i in range(k + 1, k + len(plan)):
+            if chain + plan[i % len(plan)][1] > 64:
+                break
+            chain, allowed = chain + plan[i % len(plan)][1], allowed + plan[i % len(plan)][2] + 1
+        seen = np.uint64((1 << chain) - 1)
+        # both sides by value, and by label as far as it is known
+        sorted_by = (value << np.uint64(32)) | label.astype(np.uint64)
+        order_a = np.argsort(sorted_by[:first])
+        order_b = np.argsort(sorted_by[second:]) + second if not within_one else order_a
+        by_a, by_b = sorted_by[order_a], sorted_by[order_b]
+        value_a, word_a, word_b = value[order_a].astype(np.int64), turned[order_a] & seen, turned[order_b] & seen
+        starts = np.zeros((1 << bits) + 1, np.int64)
+        starts[1:] = np.cumsum(np.bincount(value[order_b].astype(np.int64), minlength=1 << bits))
+        for flip in _flips(bits, radius):
+            if within_one and flip:  # each pair from the side whose highest flipped bit is unset
+                mine = np.flatnonzero(value_a & (1 << (flip.bit_length() - 1)) == 0)
+            else:
+                mine = np.arange(len(value_a))
+            other = value_a[mine] ^ flip
+            lo = starts[other]
+            count = starts[other + 1] - lo
+            if within_one and not flip:  # each node and those after it
+                count -= mine + 1 - lo
+                lo = mine + 1
+            big = np.flatnonzero(count > _CROWD)
+            if len(big):
+                key = (by_a[mine[big]] & np.uint64((1 << 32) - 1)) | other[big].astype(np.uint64) << np.uint64(32)
+                end = lo[big] + count[big]
+                left = np.clip(np.searchsorted(by_b, key, side="left"), lo[big], end)
+                right = np.clip(np.searchsorted(by_b, key, side="right"), lo[big], end)
+                count[big] = left - lo[big]
+                mine, lo, count = np.r_[mine, mine[big]], np.r_[lo, right], np.r_[count, end - right]
+            for at, many, place in _ranges(lo, count):
+                ok = np.flatnonzero(np.bitwise_count(np.repeat(word_a[mine[at]], many) ^ word_b[place]) < allowed)
+                if len(ok) == 0:
+                    continue
+                a = order_a[mine[at[np.searchsorted(np.cumsum(many), ok, side="right")]]]
+                b = order_b[place[ok]]
+                new = label[a] != label[b]
+                a, b = a[new], b[new]
+                near = within(words, a, b, most)
+                found.append((a[near], b[near]))
+                if sum(len(x) for x, _ in found) > _LINKS_HELD:
+                    label, found = _joined(label, found), []
+        label, found = _joined(label, found), []
+    b = np.flatnonzero(label != np.arange(n))
+    return b, label[b]
+
+
+def _crowds(words: np.ndarray, value: np.ndarray, label: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what is linked among the nodes of one value, where many share it and aren't all joined already."""
+    order = np.argsort(value, kind="stable")
+    cut = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1]])
+    sizes = np.diff(np.r_[cut, len(order)])
+    found = []
     for begin, size in zip(cut[sizes > _CROWD].tolist(), sizes[sizes > _CROWD].tolist()):
-        label = _reach(words[begin : begin + size], most)
-        b = np.flatnonzero(label != np.arange(size))
-        found_a.append(begin + label[b])
-        found_b.append(begin + b)
-    few = np.flatnonzero(np.repeat(sizes <= _CROWD, sizes))
-    sizes = sizes[sizes <= _CROWD]
-    for a, b in _pairs(sizes):
-        a, b = few[a], few[b]
-        ok = within(words, a, b, most)
-        found_a.append(a[ok])
-        found_b.append(b[ok])
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    if len(a) == 0:
-        return a, b
-    names, flat = np.unique(node, return_inverse=True)
-    label = _stars(len(names), flat[a], flat[b])
-    b = np.flatnonzero(label != np.arange(len(names)))
-    return names[label[b]], names[b]
+        crowd = order[begin : begin + size]
+        if (label[crowd] != label[crowd[0]]).any():
+            found.append((crowd, crowd[_reach(words[crowd], most)]))
+    return found
+
+
+def _joined(label: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The labels when the found links are added."""
+    if not sum(len(a) for a, _ in found):
+        return label
+    every = np.arange(len(label))
+    return _stars(len(label), np.concatenate([every, *(a for a, _ in found)]), np.concatenate([label, *(b for _, b in found)]))
 
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -226,16 +301,15 @@ def _row_prints(docs: DataFrame, originals: DataFrame | None, id_col: str, text_
     return prints.unionByName(before)
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, originals: DataFrame | None = None, recall: float = RECALL) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, originals: DataFrame | None = None) -> DataFrame:
     """(doc_id, group_id, group_size, kept): every document that has a near-duplicate, with its group.
 
     Fingerprints have 256 bits; documents of one fingerprint are one node, so thousands of exact copies cost one
-    row. Each node is filed under keys, chains of consecutive one-bit segments of the ring in several fixed orders;
-    within a key candidates are tested, first by the pigeonring prefixes, then in full. The test is exact. That a pair
-    shares a key has a chance of at least ``recall`` at ``max_distance`` and a higher one below (``key_plan``). Keys
-    that many nodes share are gone through node by node, so a crowd of near copies costs a few passes and no link
-    between groups is lost. Groups are connected components; ``group_id`` is the smallest doc_id and that document
-    is ``kept``.
+    row. All nodes are compared with all, two blocks of them in a task, and every pair within ``max_distance`` is found:
+    candidates differ little in some chunk of the bits (``chunk_plan``), then come the pigeonring chains and the full
+    check (``_links``). Each node is sent once for each block, so shuffled fingerprints grow as the square of the nodes
+    from BLOCK nodes a block on, as do the tests. Groups are connected components; ``group_id`` is the smallest doc_id
+    and that document is ``kept``.
 
     ``originals`` holds earlier texts of the documents under the same column names: then two documents are also
     near-duplicates when these are, whatever has been cut out of them since.
@@ -249,44 +323,37 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     words = ["f0", "f1", "f2", "f3"]
     prints = materialise(_row_prints(docs, originals, id_col, text_col), "simhash")
     nodes = materialise(prints.select(*words).distinct().withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
-    bits, orders = key_plan(nodes.count(), max_distance, recall)
-
-    def file(batches):
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            for begin in range(0, batch.num_rows, 2048):
-                w = np.column_stack([c[begin : begin + 2048] for c in cols[:4]]).astype(np.int64).view(np.uint64)
-                node = np.ascontiguousarray(cols[4][begin : begin + 2048])
-                keys = _keys(w, bits, orders)
-                columns = [pa.array(node), *(pa.array(np.ascontiguousarray(w[:, i]).view(np.int64)) for i in range(4))]
-                for k in range(keys.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), *columns], ["key", "node", *words])
-
-    def verify(batches):
-        held, size = [], 0
+    count = nodes.count()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-count // BLOCK), min(math.isqrt(4 * cores), -(-count // SMALL_BLOCK)))
+    own, other = F.col("own"), F.col("other")
+    high = F.greatest(own, other)
+    filed = nodes.withColumn("own", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    filed = filed.select((high * (high + 1) / 2 + F.least(own, other)).cast("int").alias("task"), (own > other).alias("second"), "node", *words)
+
+    def compare(batches):
+        held = ([], [])
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            held.append(now)
-            size += batch.num_rows
-            if held[0][0][0] == now[0][-1]:  # all of one key so far
-                continue
-            cols = [np.concatenate(x) for x in zip(*held)]
-            whole = int(np.searchsorted(cols[0], cols[0][-1]))
-            yield from out([x[:whole] for x in cols])
-            held = [[x[whole:] for x in cols]]
-        if held:
-            yield from out([np.concatenate(x) for x in zip(*held)])
-
-    def out(cols):
-        w = np.ascontiguousarray(np.column_stack(cols[2:]).astype(np.int64)).view(np.uint64)
-        a, b = _verify(cols[1], cols[0], w, max_distance)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    filed = nodes.mapInArrow(file, "key long, node long, f0 long, f1 long, f2 long, f3 long")
-    pairs = filed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+            second = batch.column(1)
+            for side, mask in ((0, pc.invert(second)), (1, second)):
+                part = batch.filter(mask)
+                held[side].append([part.column(i).to_numpy() for i in range(2, 7)])
+        sides = [x for side in held for x in side]
+        if not sides:
+            return
+        first = sum(len(x[0]) for x in held[0])
+        node = np.concatenate([x[0] for x in sides])
+        w = np.empty((len(node), 4), np.int64)
+        for i in range(4):
+            np.concatenate([x[i + 1] for x in sides], out=w[:, i])
+        held[0].clear(), held[1].clear(), sides.clear()
+        if 0 < first:
+            a, b = _links(w.view(np.uint64), first, max_distance)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    tasks = blocks * (blocks + 1) // 2
+    pairs = filed.repartitionById(tasks, F.col("task")).mapInArrow(compare, "a long, b long")
     owned = materialise(prints.join(nodes, words).select("doc_id", "node").distinct(), "simhash-owned")
     # a document of several texts joins their nodes
     same = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("b")).filter("a < z")

@@ -274,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def pass_of(part):
         sent = spark.sparkContext.broadcast(Index([-1 if i is None else i for i, _ in part], [t for _, t in part]))
-        return pair.mapInArrow(search(sent), "doc_id long, item_id long, matched long, edits long, text_hash long")
+        return pair.mapInArrow(A.released(search(sent)), "doc_id long, item_id long, matched long, edits long, text_hash long")
 
     out, part, size = None, [], 0
     for i, t in items.toLocalIterator():

@@ -151,7 +151,7 @@ def identify(
 
     if not langs:
         return source.select("doc_id", none.alias("text_lang"), none.alias("lang_id"), F.lit(0.0).alias("posterior"), F.lit(True).alias("rejected"), "text_hash")
-    scored = source.mapInArrow(run, f"doc_id {kind}, text_hash long, host string, markup string, suffix string, logs array<double>, own array<double>, grams long, noise boolean")
+    scored = source.mapInArrow(A.released(run), f"doc_id {kind}, text_hash long, host string, markup string, suffix string, logs array<double>, own array<double>, grams long, noise boolean")
 
     own = materialise(scored, "langid")
     each = range(len(langs))

@@ -147,7 +147,7 @@ def repeated_bits(texts: DataFrame, pieces=_chunks) -> np.ndarray:
             for s in A.slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(pieces(A.column(s, "text"))[1].view(np.int64))], ["hash"])
 
-    twice = texts.mapInArrow(run, "hash long").groupBy("hash").count().filter("count > 1")
+    twice = texts.mapInArrow(A.released(run), "hash long").groupBy("hash").count().filter("count > 1")
     slot = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
     words = twice.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
@@ -221,7 +221,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield rows(out)
         yield rows([x for _, x in held.values()])
 
-    picked = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(pick, "id long, text_hash long, hash long, start int, stop int, body binary")
+    picked = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(A.released(pick), "id long, text_hash long, hash long, start int, stop int, body binary")
     # what goes already has no bytes, and is spread over the partitions
     picked = picked.withColumn("hash", F.when(F.col("body").isNull(), F.xxhash64("id", "text_hash", "start")).otherwise(F.col("hash")))
     same = Window.partitionBy("hash", "body").orderBy("id", "text_hash", "start")

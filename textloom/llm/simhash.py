@@ -288,7 +288,7 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(words[some, k].view(np.int64)) for k in range(4))], ["doc_id", "f0", "f1", "f2", "f3"])
 
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    return pair.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    return pair.mapInArrow(A.released(run), "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
 def _row_prints(docs: DataFrame, originals: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
@@ -353,7 +353,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     tasks = blocks * (blocks + 1) // 2
-    pairs = filed.repartitionById(tasks, F.col("task")).mapInArrow(compare, "a long, b long")
+    pairs = filed.repartitionById(tasks, F.col("task")).mapInArrow(A.released(compare), "a long, b long")
     owned = materialise(prints.join(nodes, words).select("doc_id", "node").distinct(), "simhash-owned")
     # a document of several texts joins their nodes
     same = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("b")).filter("a < z")

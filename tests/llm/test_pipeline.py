@@ -156,3 +156,16 @@ def test_columns_of_any_name(spark, folder):
         out = stage(spark, docs.selectExpr("*", *[f"7 as `{x}`" for x in more]), folder)
         assert out.columns == docs.columns + more
         assert common.rows(out.select(docs.columns)) == common.rows(plain) and {tuple(r) for r in out.select(more).collect()} <= {(7,) * len(more)}
+
+
+def test_no_near_copy_at_the_limit_stays(spark, folder, monkeypatch):
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, (700, 256), dtype=np.uint8)
+    other = bits.copy()
+    for row in other:
+        row[rng.choice(256, simhash.MAX_DISTANCE, replace=False)] ^= 1
+    words = np.packbits(np.concatenate([bits, other]), axis=1).view(np.int64)
+    prints = spark.createDataFrame([(20_000 + i, *map(int, w)) for i, w in enumerate(words)], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(simhash, "fingerprint_table", lambda *_: prints)
+    docs = spark.createDataFrame([(20_000 + i, f"text {i}", "en", "src0", 9) for i in range(1400)], common.DOCS)
+    assert sorted(r.doc_id for r in _stage("near_duplicates")(spark, docs, folder).collect()) == list(range(20_000, 20_700))

@@ -1,3 +1,4 @@
+import glob
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import common
+from textloom import runtime
 from textloom.llm import simhash
 
 
@@ -181,3 +183,25 @@ def test_repeated_ids_and_clashing_names(spark):
     out = simhash.drop_near_duplicates(df, wordless=True)
     assert out.columns == [*names, *more]
     assert sorted([(r.doc_id, r.text, r.c0) for r in out.collect()], key=repr) == sorted([(1, min(text, "b other words here"), 7), (None, "n", 7), (None, "n", 7)], key=repr)
+
+
+def _graph(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 400)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(250)] + [(1, 1), (7, 3), (7, 3)]
+    return spark.createDataFrame(edges, "a long, b long").repartition(5)
+
+
+def test_links_are_connected_in_one_task_as_by_rounds(spark, monkeypatch):
+    at_once = common.rows(simhash._components(_graph(spark)))
+    assert (7, 3) in at_once and (400, 100) in at_once and all(node != 1 for node, _ in at_once)
+    assert simhash._components(_graph(spark).limit(0)).count() == 0
+    monkeypatch.setattr(simhash, "LINKS_AT_ONCE", 0)
+    assert common.rows(simhash._components(_graph(spark))) == at_once
+
+
+def test_few_files_are_written(spark):
+    texts = [common.sentence(i // 2, 60) + f" x{i}" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    mark = runtime.written_so_far()
+    assert simhash.near_duplicate_groups(docs).count() > 100
+    assert sum(len(glob.glob(f"{path.removeprefix('file://')}/part-*")) for path in runtime._WRITTEN[mark:]) <= 12

@@ -32,6 +32,8 @@ _WORDS_AT_ONCE = 50_000
 _CROWD = 64
 #: Links that are held before they are joined.
 _LINKS_HELD = 1 << 16
+#: Links between blocks that one task connects, at most; more are connected by rounds over tables.
+LINKS_AT_ONCE = 1 << 20
 #: Nanoseconds to look up a bucket and to test a candidate, about; only their ratio matters.
 _LOOKUP, _TEST = 6, 8
 
@@ -301,6 +303,23 @@ def _row_prints(docs: DataFrame, originals: DataFrame | None, id_col: str, text_
     return prints.unionByName(before)
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """``connected_components`` of (a, b), without its rounds where one task can hold the links: each writes a table."""
+    links = materialise(links.filter("a <> b").distinct(), "simhash-links")
+    if links.count() > LINKS_AT_ONCE:
+        return connected_components(links)
+
+    def run(batches):
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if held:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+            label = _stars(len(nodes), at[: len(a)], at[len(a) :])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+    return links.repartition(1).mapInArrow(A.released(run), "node long, component long")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, originals: DataFrame | None = None) -> DataFrame:
     """(doc_id, group_id, group_size, kept): every document that has a near-duplicate, with its group.
 
@@ -321,7 +340,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     require(docs, id_col, text_col)
     words = ["f0", "f1", "f2", "f3"]
-    prints = materialise(_row_prints(docs, originals, id_col, text_col), "simhash")
+    # in few files: for each that is opened, an executor starts other processes, whose memory counts twice until they run
+    prints = materialise(_row_prints(docs, originals, id_col, text_col).repartition("doc_id"), "simhash")
     nodes = materialise(prints.select(*words).distinct().withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     count = nodes.count()
     cores = docs.sparkSession.sparkContext.defaultParallelism
@@ -358,7 +378,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # a document of several texts joins their nodes
     same = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("b")).filter("a < z")
     pairs = pairs.unionByName(same.select("a", F.explode("b").alias("b")).filter("a <> b"))
-    roots = connected_components(pairs)
+    roots = _components(pairs)
     named = owned.join(roots, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
     members = named.groupBy("doc_id").agg(F.min("group").alias("group"))
     sizes = members.groupBy("group").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")).filter("group_size > 1")

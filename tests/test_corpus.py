@@ -234,3 +234,37 @@ def test_fragments_of_unlike_texts(spark, tmp_path):
         for f in r[0]:
             want[f] = want.get(f, 0) + 1
     assert {r.fragment: r.pairs for r in catalogue.overlap_fragments(spark, str(tmp_path)).collect()} == want and shared in want
+
+
+def test_similar_pairs_are_ruled_out_in_memory(spark, tmp_path):
+    """Of pairs that share an index term, only those that may reach the threshold are written; texts meet once, however often they occur."""
+    import random
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rnd.choices(words, k=40)) for _ in range(150)]
+    texts += [t.replace(t.split()[0], "changed", 1) for t in texts[:20]] + texts[:30] * 2 + ["", None, ""]
+    c = corpus(spark, texts)
+    kept = similarity.BROADCAST_INDEX, similarity.BROADCAST_WEIGHTS, similarity._PAIRS_AT_ONCE
+    similarity.BROADCAST_INDEX, similarity.BROADCAST_WEIGHTS, similarity._PAIRS_AT_ONCE = 500, 2000, 1000
+    try:
+        near = similarity.candidates(c.rows, 0.9)
+        found = near.collect()
+        got = {(r.id_a, r.id_b): round(r.sim, 9) for r in similarity.cosine_pairs(c, 0.9).collect()}
+    finally:
+        similarity.BROADCAST_INDEX, similarity.BROADCAST_WEIGHTS, similarity._PAIRS_AT_ONCE = kept
+    v: dict = {}
+    for r in c.postings.collect():
+        v.setdefault(r.doc_id, {})[r.term] = r.weight
+    every = {(a, b): sum(w * v[b].get(t, 0) for t, w in v[a].items()) for a in v for b in v if a < b}
+    assert got == {p: round(s, 9) for p, s in every.items() if s >= 0.9 - 1e-9} and len(got) > 100
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} >= set(got)
+    index: dict = {}
+    for r in similarity.index_terms(c.rows, 0.9).collect():
+        for t in r.ids:
+            index.setdefault(t, []).append(r.doc_id)
+    assert len(found) < 0.9 * len({(a, b) for ids in index.values() for a in ids for b in ids if a < b})
+    # copies are no nodes of their own
+    same = similarity._same_texts(c)
+    firsts = {r.first for r in same.collect()}
+    assert {i for r in similarity._different_pairs(c, same, 0.9).collect() for i in (r.id_a, r.id_b)} <= firsts

@@ -163,3 +163,10 @@ def test_runs_of_words(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],), (None,)], "w array<string>")
     got = [r[0] for r in df.select(tx.ngrams(F.col("w"), 1, 3)).collect()]
     assert got == [["a", "b", "c", "a b", "b c", "a b c"], ["a"], [], None]
+
+
+def test_equal_dates_are_parsed_once():
+    dates.parse.cache_clear()
+    for _ in range(50):
+        found = dates.find_dates_value(["May 4, 1996", "06/13/1996"], None, None)
+    assert [d for d, _ in found] == [dt.datetime(1996, 5, 4), dt.datetime(1996, 6, 13)] and dates.parse.cache_info().misses == 2

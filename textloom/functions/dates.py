@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import re
 
 import pandas as pd
@@ -25,8 +26,12 @@ def preprocess(text: Column, patterns: list[str] | None = None) -> Column:
     return text
 
 
+@functools.lru_cache(1 << 16)
 def parse(raw: str) -> dt.datetime | None:
-    """The date, if day, month and year are all in the string: two different defaults must give one result."""
+    """The date, if day, month and year are all in the string: two different defaults must give one result.
+
+    The parser is slow, and dates are repeated; so results are kept, of a bounded number of strings.
+    """
     try:
         a, b = (parser.parse(raw, fuzzy=True, default=d) for d in _DEFAULTS)
     except (ValueError, OverflowError, TypeError):

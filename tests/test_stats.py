@@ -222,3 +222,21 @@ def test_topic_arguments(spark):
             topics.TopicModel(df, "id", "text", *args)
     with pytest.raises(ValueError):
         topics.fit_params("lda", nonsense=1)
+
+
+def test_hdp_is_fitted_over_all_texts(spark):
+    """Each pass takes every text: the parts that a corpus might be followed in don't matter, and planted topics are found."""
+    import numpy as np
+
+    from textloom.operators import topics
+
+    rng = np.random.default_rng(0)
+    texts = [(i, " ".join(f"t{i % 3}word{w}" for w in rng.integers(0, 8, 30))) for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    one = topics.TopicModel(df, "doc_id", "text", "hdp", max_ngram_size=1, stop_words=[])
+    first = one.fit(T=6, chunksize=1).fitted.topics
+    assert np.allclose(first, one.fit(T=6, chunksize=256).fitted.topics, rtol=1e-4, atol=1e-6) and one.rounds == 20
+    groups = np.array([[sum(w for w, v in zip(row, one.vocabulary) if v[1] == g) for g in "012"] for row in one.fitted.topics])
+    assert set(groups[groups.max(axis=1) > 0.99].argmax(axis=1)) == {0, 1, 2}
+    weights = one.document_topics(df).groupBy("doc_id").agg({"weight": "sum"}).collect()
+    assert len(weights) == 120 and one.get_score()["perplexity"] < 15

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.blocks import rows_of, sums
+from textloom.operators.blocks import pieces, rows_of, sums
 from textloom.operators.sampling import rank_all
 from textloom.runtime import materialise
 
@@ -57,7 +57,7 @@ def _project(features: DataFrame, width: int, v: np.ndarray, shift: np.ndarray)
 
     def run(batches):
         m, s = sent.value
-        for batch in batches:
+        for batch in (b for whole in batches for b in pieces(whole, 1)):
             z = rows_of(batch.column(1), width).times(m) - s
             ends = np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(z.ravel()))], ["doc_id", "z"])
